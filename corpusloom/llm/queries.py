@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import exact_dedup as exact
-from corpusloom.llm import mpeg_audio, pii
+from corpusloom.llm import language_id, mpeg_audio, pii, quality_fm
 from corpusloom.llm.common import table
 
 
+def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_fm.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.media_digests(table(spark, sf_dir, "documents"))
 
@@ -21,7 +25,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_mpeg_audio": op2_mpeg_audio, "op3_pii": op3_pii, "op5_exact_dedup": op5_exact_dedup}
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_ids(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_quality_fm": op1_quality_fm, "op8_language_id": op8_language_id, "op2_mpeg_audio": op2_mpeg_audio, "op3_pii": op3_pii, "op5_exact_dedup": op5_exact_dedup}
 
 ORACLES = {
     "op5_exact_dedup": """
