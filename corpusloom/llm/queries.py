@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import exact_dedup as exact
-from corpusloom.llm import language_id, mpeg_audio, packing, pii, quality_fm, sentencepiece_nbest, url_lists
+from corpusloom.llm import language_id, mpeg_audio, ngram_join, packing, pii, quality_fm, sentencepiece_nbest, url_lists
 from corpusloom.llm.common import table
 
 
@@ -43,12 +43,16 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_vocabulary("byte_bpe_50k.json"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), rule=ngram_join.Rule(words=3, percent=90))
+
+
 def op10_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return url_lists.filter_urls(url_lists.dated_captures(pages), url_lists.dated_entries(pages))
 
 
-QUERIES = {"op6_sentencepiece_nbest": op6_sentencepiece_nbest, "op7_best_fit_packing": op7_best_fit_packing, "op10_url_lists": op10_url_lists, "op1_quality_fm": op1_quality_fm, "op8_language_id": op8_language_id, "op2_mpeg_audio": op2_mpeg_audio, "op3_pii": op3_pii, "op5_exact_dedup": op5_exact_dedup}
+QUERIES = {"op9_ngram_join": op9_ngram_join, "op6_sentencepiece_nbest": op6_sentencepiece_nbest, "op7_best_fit_packing": op7_best_fit_packing, "op10_url_lists": op10_url_lists, "op1_quality_fm": op1_quality_fm, "op8_language_id": op8_language_id, "op2_mpeg_audio": op2_mpeg_audio, "op3_pii": op3_pii, "op5_exact_dedup": op5_exact_dedup}
 
 ORACLES = {
     "op10_url_lists": url_lists.SQL,
