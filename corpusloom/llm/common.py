@@ -21,6 +21,12 @@ def prepare(spark: SparkSession) -> None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-checkpoint-"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: the checkpoint folder of this application."""
+    prepare(spark)
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

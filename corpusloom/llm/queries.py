@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import exact_dedup as exact
-from corpusloom.llm import language_id, mpeg_audio, ngram_join, packing, pii, quality_fm, sentencepiece_nbest, url_lists
+from corpusloom.llm import language_id, mpeg_audio, ngram_join, packing, pii, quality_fm, repeats, sentencepiece_nbest, url_lists
 from corpusloom.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_spans(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,13 @@ def op10_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_lists.filter_urls(url_lists.dated_captures(pages), url_lists.dated_entries(pages))
 
 
-QUERIES = {"op9_ngram_join": op9_ngram_join, "op6_sentencepiece_nbest": op6_sentencepiece_nbest, "op7_best_fit_packing": op7_best_fit_packing, "op10_url_lists": op10_url_lists, "op1_quality_fm": op1_quality_fm, "op8_language_id": op8_language_id, "op2_mpeg_audio": op2_mpeg_audio, "op3_pii": op3_pii, "op5_exact_dedup": op5_exact_dedup}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {"pipeline": pipeline, "op4_suffix_array": op4_suffix_array, "op9_ngram_join": op9_ngram_join, "op6_sentencepiece_nbest": op6_sentencepiece_nbest, "op7_best_fit_packing": op7_best_fit_packing, "op10_url_lists": op10_url_lists, "op1_quality_fm": op1_quality_fm, "op8_language_id": op8_language_id, "op2_mpeg_audio": op2_mpeg_audio, "op3_pii": op3_pii, "op5_exact_dedup": op5_exact_dedup}
 
 ORACLES = {
     "op10_url_lists": url_lists.SQL,
