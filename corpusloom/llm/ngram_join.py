@@ -37,7 +37,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import id_and_text, prepare
 
-UNIT = 2000
+UNIT = 5000
+#: DivideSkip's factor for the share of lists that are probed.
+LONG_FACTOR = 0.01
 SMALL_PART = 3
 BLOCK_SIGNATURES = 400_000
 TEXT_BLOCK = 1 << 20
@@ -149,7 +151,7 @@ def divide_skip(lists: list[list[int]], need: int) -> list[tuple[int, int]]:
     if need <= 0 or len(lists) < need:
         return []
     lists = sorted(lists, key=len)
-    n_long = min(need - 1, int(need / (0.01 * math.log2(len(lists[-1]) + 1) * 10 + 1)))
+    n_long = min(need - 1, int(need / (LONG_FACTOR * math.log2(len(lists[-1]) + 1) + 1)))
     short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
     least, out = need - n_long, []
     heap = [(x[0], i, 0) for i, x in enumerate(short)]
@@ -160,7 +162,9 @@ def divide_skip(lists: list[list[int]], need: int) -> list[tuple[int, int]]:
             popped.append(heapq.heappop(heap))
             count += 1
         if count >= least:
-            for x in long:
+            for left, x in zip(range(n_long, 0, -1), long, strict=True):
+                if count + left < need:
+                    break
                 at = bisect_left(x, top)
                 count += at < len(x) and x[at] == top
             if count >= need:
@@ -242,14 +246,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     both = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
     before = None
     for _ in range(rounds):
-        # large star: every neighbour that is larger than a node goes to the smallest of its neighbourhood
-        around = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = around.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        # small star: smaller neighbours and the node itself go to the smallest
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
-        both = joined.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct().checkpoint()
+        # large star: what is larger than a node goes to the smallest of the node's neighbourhood; a hub is no key of the grouping, as it has no smaller neighbour
+        least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        large = both.join(least, both.b == least.u, "left").select("a", F.coalesce("m", "b").alias("b"))
+        # small star: a node's smaller neighbours, which are few, and the node itself go to the smallest of them
+        least_of = large.select("a", "b", F.min("b").over(Window.partitionBy("a")).alias("m"))
+        both = least_of.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a != b").distinct().checkpoint()
         now = tuple(both.agg(F.count("a"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             break
@@ -382,8 +384,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = _search(sets.withColumn("label", F.lit(None).cast("long")), rule).checkpoint()
     links = found.select(F.col("doc_id").alias("a"), F.col("root").alias("b"))
     if large:
-        links = _across(rows, wanted, found, sets, links, rule, unit)
-    joined = components(links)
+        joined = components(_across(rows, wanted, found, sets, links, rule, unit))
+    else:  # units are whole blocks
+        joined = links.select(F.col("a").alias("node"), F.col("b").alias("label"))
     low = classes.join(joined, classes.rep == joined.node, "left").select(F.col("key").alias("k"), F.coalesce("label", "rep").alias("component_id"), "class_size")
     own = profiles.select("doc_id", "n", F.when(F.col("n") > 0, F.col("key")).alias("key"))
     return own.join(low, own.key == low.k, "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
