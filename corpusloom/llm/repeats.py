@@ -1,12 +1,14 @@
 """Suffix-array deduplication: removes bytes of strings of LENGTH bytes that start anywhere else too.
 
-1. Anchors. Of every LENGTH-byte window the K-gram with the least hash is its anchor; equal windows have equal anchors at equal
-   places. Anchor hashes are counted over all documents (blocks of a task's rows send each hash once).
-2. Segments. Around each anchor that occurs again, the bytes that a window with this anchor can reach go to the anchor's unit.
-   Equal segments of a block are one row. An anchor with more than UNIT occurrences is dealt over several units.
-3. In batches of units an enhanced suffix array of the segments is built by prefix doubling; a stack scan of its LCP array
-   gives the tree of common-prefix intervals. Intervals of at least LENGTH bytes whose left neighbours differ are the maximal
-   repeats; all their occurrences are marked (a place that two segments show is one occurrence).
+1. Anchors. Of every LENGTH-byte window the K-gram with the least hash (the leftmost of equal ones) is its anchor; equal windows
+   have equal anchors at equal places. Anchor hashes are counted over all documents (blocks of a task's rows send each hash once).
+2. Segments. The bytes of the windows of each anchor that occurs again go to the anchor's unit. Equal segments of a block are
+   one row. An anchor with more than UNIT occurrences is dealt over several units.
+3. In a unit the suffixes at the anchors are sorted: an enhanced suffix array, whose LCP array a stack scan turns into the tree of
+   common-prefix intervals, from the longest prefixes up. Where intervals merge, members are looked up among the others by their
+   left contexts: those that differ to the left end a maximal repeat there, with the common left context and the interval's
+   prefix as its extent. Every occurrence in the interval is met, not only neighbours in the array, and members of the larger part
+   are only compared where one of the smaller part lies next to them in left order, as others are covered by longer repeats.
 4. Windows of anchors that were dealt over several units meet once more by their 128-bit hashes, one row of a unit and window.
 5. Marks are gathered by document, and the bytes left are joined.
 
@@ -18,6 +20,7 @@ documents; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,146 +31,103 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import map_batches, prepare, text_or_empty
 from corpusloom.llm.ngram_join import _BYTE, _power, mix
 
-LENGTH, K = 200, 64
-UNIT = 2000
-BATCH_BYTES = 1 << 20
+LENGTH, K = 200, 32
+REACH = LENGTH - K
+UNIT = 20_000
 BLOCK_ANCHORS, BLOCK_SEGMENTS = 200_000, 20_000
 TEXT_BLOCK = 1 << 19
 
 
-def sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
-    """Minimum or maximum of every window of x."""
-    f, fill = (np.minimum, np.uint64(0xFFFFFFFFFFFFFFFF)) if least else (np.maximum, np.uint64(0))
+def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     n = len(x) - width + 1
-    y = np.full(-(-len(x) // width) * width, fill, np.uint64)
+    y = np.full(-(-len(x) // width) * width, 0xFFFFFFFFFFFFFFFF, np.uint64)
     y[: len(x)] = x
     y = y.reshape(-1, width)
-    left, right = f.accumulate(y, axis=1).ravel(), f.accumulate(y[:, ::-1], axis=1)[:, ::-1].ravel()
-    return f(right[:n], left[width - 1 : width - 1 + n])
+    left, right = np.minimum.accumulate(y, axis=1).ravel(), np.minimum.accumulate(y[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(right[:n], left[width - 1 : width - 1 + n])
 
 
-def anchors(raw: bytes, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the anchors of all windows of raw."""
-    places, hashes, width = [], [], length - k + 1
-    for at in range(0, max(1, len(raw) - length + 1), TEXT_BLOCK):
-        a = np.frombuffer(raw, np.uint8)[at : at + TEXT_BLOCK + length - 1]
-        if len(a) < length:
-            break
+def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the windows of raw: anchor positions and hashes, and the first and last window start of each."""
+    found: list[np.ndarray] = []
+    low_bits = np.uint64((1 << 20) - 1)
+    for at in range(0, len(raw) - LENGTH + 1, TEXT_BLOCK):
+        a = np.frombuffer(raw, np.uint8)[at : at + TEXT_BLOCK + LENGTH - 1]
         up, down = _power(len(a) + 1)
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[a] * up[: len(a)], dtype=np.uint64)])
-        h = mix((total[k:] - total[:-k]) * down[: len(total) - k])
-        low = sliding(h, width, True)
-        edge = np.zeros(width - 1, np.uint64)
-        chosen = np.flatnonzero(sliding(np.concatenate([edge, low, edge]), width, False) == h)
-        places.append(chosen + at)
-        hashes.append(h[chosen])
-    if not places:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    p, first = np.unique(np.concatenate(places), return_index=True)
-    return p, np.concatenate(hashes)[first]
-
-
-class SuffixArray:
-    """Of data, for suffixes at starts, compared up to depth bytes (a power of two times 8). Ranks by prefix doubling."""
-
-    def __init__(self, data: np.ndarray, starts: np.ndarray, depth: int) -> None:
-        n = len(data)
-        padded = np.concatenate([data, np.zeros(depth + 8, np.uint8)])
-        key = np.zeros(n, np.uint64)
-        for i in range(8):
-            key = key << np.uint64(8) | padded[i : i + n]
-        self.data, self.ranks, width = padded, [], 8
-        rank = np.unique(key, return_inverse=True)[1]
-        self.ranks.append((width, rank))
-        while width < depth:
-            after = np.zeros(n, np.int64)
-            if width < n:
-                after[: n - width] = rank[width:] + 1
-            rank = np.unique(rank * np.int64(n + 2) + after, return_inverse=True)[1]
-            width *= 2
-            self.ranks.append((width, rank))
-        self.order = starts[np.argsort(rank[starts], kind="stable")]
-        self.depth = width
-
-    def lcp(self, room: np.ndarray) -> np.ndarray:
-        """Common prefix of each suffix and the one before it in order; room: bytes to the end of its string, by position."""
-        a, b = self.order[:-1], self.order[1:]
-        got, n = np.zeros(len(a), np.int64), len(self.data) - self.depth - 8
-        for width, rank in reversed(self.ranks):
-            x, y = np.minimum(a + got, n - 1), np.minimum(b + got, n - 1)
-            got += width * ((rank[x] == rank[y]) & (np.maximum(a, b) + got < n))
-        for _ in range(7):
-            got += self.data[np.minimum(a + got, n)] == self.data[np.minimum(b + got, n)]
-        return np.concatenate([[0], np.minimum(got, np.minimum(room[a], room[b]))])
-
-
-def interval_tree(lcp: list[int], least: int, left: list[int], place: list[int]) -> list[tuple[int, int, int]]:
-    """Maximal repeats of at least `least`: (first, last, length) over the suffix array, where left neighbours differ and so do places. One scan with a stack."""
-    out, stack, n = [], [], len(lcp)  # stack: [length, first, least left, most left, least place, most place]
-    for i in range(1, n + 1):
-        now = lcp[i] if i < n else 0
-        node = [0, i - 1, left[i - 1], left[i - 1], place[i - 1], place[i - 1]]
-        while stack and stack[-1][0] > now:
-            top = stack.pop()
-            _merge(top, node)
-            if top[2] != top[3] and top[4] != top[5]:
-                out.append((top[1], i - 1, top[0]))
-            node = top
-        if now >= least:
-            if stack and stack[-1][0] == now:
-                _merge(stack[-1], node)
-            else:
-                stack.append([now, *node[1:]])
-    return out
-
-
-def _merge(a: list, b: list) -> None:
-    a[2], a[3], a[4], a[5] = min(a[2], b[2]), max(a[3], b[3]), min(a[4], b[4]), max(a[5], b[5])
-
-
-def maximal_repeats(strings: list[bytes], places: list[int], least: int = LENGTH, twice: list[bool] | None = None) -> tuple[list[list[tuple[int, int, int]]], list[list[tuple[int, int]]]]:
-    """Groups of occurrences (string, offset, length), and by string the ranges covered. places: a number for each string's first byte, such that equal numbers are the same byte; twice: the string occurs elsewhere as a whole."""
-    lengths = np.array([len(s) for s in strings], np.int64)
-    data = np.frombuffer(b"".join(strings), np.uint8)
-    first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    owner = np.repeat(np.arange(len(strings)), lengths)
-    offset = np.arange(len(data)) - first[owner]
-    room = lengths[owner] - offset
-    starts = np.flatnonzero(room >= least)
-    if not len(starts):
-        return [], [[] for _ in strings]
-    depth = 8
-    while depth < lengths.max():
-        depth *= 2
-    array = SuffixArray(data, starts, depth)
-    order = array.order
-    lcp = array.lcp(room)
-    twofold = np.array(twice or [False] * len(strings))
-    left = np.where(offset[order] > 0, data[order - 1].astype(np.int64), -1 - order)
-    place = np.array(places, np.int64)[owner[order]] + offset[order]
-    place = np.unique(place, return_inverse=True)[1]
-    place = np.where(twofold[owner[order]], -1 - np.arange(len(order)), place)
-    groups, length = [], np.zeros(len(order), np.int64)
-    found = interval_tree(lcp.tolist(), least, left.tolist(), place.tolist())
-    for a, b, n in sorted(found, key=lambda x: x[2]):
-        length[a : b + 1] = n
-    at = np.flatnonzero(length)
-    covered: list[list[tuple[int, int]]] = [[] for _ in strings]
-    for i in at[np.argsort(order[at])].tolist():
-        p = int(order[i])
-        s, o = int(owner[p]), int(offset[p])
-        ranges, end = covered[s], o + int(length[i])
-        if ranges and ranges[-1][1] >= o:
-            ranges[-1] = ranges[-1][0], max(end, ranges[-1][1])
+        h = mix((total[K:] - total[:-K]) * down[: len(total) - K])
+        least = sliding_min(h & ~low_bits | np.arange(len(h), dtype=np.uint64), REACH + 1) & low_bits
+        first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+        last = np.concatenate([first[1:], [len(least)]]) - 1
+        place = least[first].astype(np.int64)
+        found.append(np.array([place + at, h[place].view(np.int64), first + at, last + at]))
+    if not found:
+        return tuple(np.zeros((4, 0), np.int64))
+    x = np.concatenate(found, axis=1)
+    same = np.flatnonzero(x[0, 1:] == x[0, :-1])  # an anchor on both sides of a block's end
+    x[3, same] = x[3, same + 1]
+    return tuple(np.delete(x, same + 1, axis=1))
+
+
+def pack_place(place: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return place << 16 | (place - first) << 8 | last - first
+
+
+def common(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    low = 0
+    while n - low > 1:
+        mid = (low + n) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
         else:
-            ranges.append((o, end))
-    for a, b, n in found:
-        groups.append([(int(owner[p]), int(offset[p]), n) for p in order[a : b + 1]])
-    return groups, covered
+            n = mid
+    return low
+
+
+def anchored_repeats(lefts: list[bytes], rights: list[bytes], least: int = LENGTH, short: int = K) -> list[list[tuple[int, int]]]:
+    """Maximal repeats across the anchors of different segments. lefts: what precedes each anchor, reversed; rights: the suffix from it on.
+    By segment: (bytes left of the anchor, bytes from it on) of the repeats of at least `least` bytes that it takes part in."""
+    n = len(rights)
+    order = sorted(range(n), key=rights.__getitem__)
+    lcp = [common(rights[a], rights[b]) for a, b in zip(order, order[1:], strict=False)]
+    by_left = sorted(range(n), key=lefts.__getitem__)
+    rank = [0] * n
+    for r, i in enumerate(by_left):
+        rank[i] = r
+    out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+
+    def merge(a: list[int], b: list[int], prefix: int) -> list[int]:
+        """Two parts of an interval with this common prefix; members as ranks of their left contexts, ascending."""
+        if len(a) < len(b):
+            a, b = b, a
+        for r in b:
+            i, at = by_left[r], bisect_left(a, r)
+            for other in (at - 1, at):
+                if 0 <= other < len(a):
+                    j = by_left[a[other]]
+                    left = common(lefts[i], lefts[j])
+                    if left + prefix >= least:
+                        out[i].append((left, prefix))
+                        out[j].append((left, prefix))
+        return sorted(a + b)
+
+    stack: list[tuple[int, list[int]]] = []
+    for k in range(n):
+        now, node = lcp[k] if k < n - 1 else 0, [rank[order[k]]]
+        while stack and stack[-1][0] >= max(now, short):
+            prefix, members = stack.pop()
+            node = merge(members, node, prefix)
+        if now >= short:
+            stack.append((now, node))
+    return out
 
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
-    """By document: key, bytes, and of its anchors those that stand for their block (hash, place, count in the block), and the places of others in the block."""
+    """By document: key, bytes, and of its anchors those that stand for their block (hash, packed place), and those that the block has several times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sizes, places, hashes, count = [], [], [], [], 0
@@ -187,17 +147,17 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
                 return pa.ListArray.from_arrays(pa.array(ends), pa.array(values[at], kind))
 
             out = pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), lists(own, h.view(np.int64), pa.int64()), lists(own, place, pa.int64()), lists(own, n, pa.int64()), lists(~own | (n > 1), place, pa.int64()), lists(~own | (n > 1), h.view(np.int64), pa.int64())], names=["key", "size", "h", "place", "n", "again", "again_h"])
+                [pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), lists(own, h, pa.int64()), lists(own, place, pa.int64()), lists(n > 1, place, pa.int64()), lists(n > 1, h, pa.int64())], names=["key", "size", "h", "place", "again", "again_h"])
             keys, sizes, places, hashes, count = [], [], [], [], 0
             return out
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
-                p, h = anchors(raw)
+                p, h, first, last = anchors(raw)
                 keys.append(key)
                 sizes.append(len(raw))
-                places.append(p)
+                places.append(pack_place(p, first, last))
                 hashes.append(h)
                 count += len(p)
                 if count >= BLOCK_ANCHORS:
@@ -205,83 +165,69 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
         if keys:
             yield flush()
 
-    return docs.mapInArrow(run, "key long, size long, h array<long>, place array<long>, n array<long>, again array<long>, again_h array<long>")
+    return docs.mapInArrow(run, "key long, size long, h array<long>, place array<long>, again array<long>, again_h array<long>")
 
 
 def _segments(rows: DataFrame) -> DataFrame:
-    """(key, text, again, places) to segments: h, segment, key and start of every occurrence in the block."""
+    """(doc_id, text, key, flagged) to segments: h, bytes before the anchor, segment, and key and start of every occurrence in the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, bytes], tuple[list[int], list[int]]] = {}
+        held: dict[tuple[int, int, bytes], tuple[list[int], list[int]]] = {}
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.int64()), pa.array([k[1] for k in held], pa.binary()), pa.array([v[0] for v in held.values()], pa.list_(pa.int64())), pa.array([v[1] for v in held.values()], pa.list_(pa.int64()))], names=["h", "segment", "keys", "starts"])
+            out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.int64()), pa.array([k[1] for k in held], pa.int64()), pa.array([k[2] for k in held], pa.binary()), pa.array([v[0] for v in held.values()], pa.list_(pa.int64())), pa.array([v[1] for v in held.values()], pa.list_(pa.int64()))], names=["h", "before", "segment", "keys", "starts"])
             held.clear()
             return out
 
         for batch in batches:
-            for key, text, flagged in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for key, text, flagged in zip(*(batch.column(n).to_pylist() for n in ("key", "text", "flagged")), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
                 for x in flagged:
-                    p, h = x["p"], x["h"]
-                    a = max(0, p - (LENGTH - K))
-                    keys, starts = held.setdefault((h, raw[a : p + LENGTH]), ([], []))
+                    p = x["p"]
+                    before = p >> 8 & 255
+                    a = (p >> 16) - before
+                    keys, starts = held.setdefault((x["h"], before, raw[a : a + (p & 255) + LENGTH]), ([], []))
                     keys.append(key)
                     starts.append(a)
                 if len(held) >= BLOCK_SEGMENTS:
                     yield flush()
         yield flush()
 
-    return rows.mapInArrow(run, "h long, segment binary, keys array<long>, starts array<long>")
+    return rows.mapInArrow(run, "h long, before long, segment binary, keys array<long>, starts array<long>")
 
 
 def _marks(segments: DataFrame) -> DataFrame:
-    """Segments by unit to (key, from, to) ranges that repeat; of dealt-out units also window hashes (x, y), by key and from."""
+    """Segments by unit to (key, a, b) ranges that repeat; of dealt-out units also window hashes (x, y), by key and a."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units: list[tuple[bool, dict[bytes, list[tuple[int, int]]]]] = []
-        at, size, out = None, 0, []
+        unit: dict[tuple[int, bytes], set[tuple[int, int]]] = {}
+        at, spread, out = None, False, []
 
         def solve() -> None:
-            nonlocal units, size
-            units = [(hot, {segment: sorted(set(seen)) for segment, seen in unit.items()}) for hot, unit in units]
-            strings, owners, spread = [], [], []
-            for hot, unit in units:
-                if len(unit) == 1 and not hot:
-                    (segment, seen), = unit.items()
-                    if len(seen) > 1 and len(segment) >= LENGTH:
-                        out.extend((k, a, a + len(segment), None, None) for k, a in seen)
-                else:
-                    for segment, seen in unit.items():
-                        strings.append(segment)
-                        owners.append(seen)
-                        spread.append(hot)
-            if strings:
-                numbers: dict[int, int] = {}
-                place = [numbers.setdefault(seen[0][0], len(numbers)) * (1 << 40) + seen[0][1] for seen in owners]
-                _, covered = maximal_repeats(strings, place, LENGTH, [len(seen) > 1 for seen in owners])
-                for s, seen, hot, ranges in zip(strings, owners, spread, covered, strict=True):
-                    if len(seen) > 1 and len(s) >= LENGTH:
-                        ranges = [(0, len(s))]
-                    out.extend((k, a + x, a + y, None, None) for k, a in seen for x, y in ranges)
-                    if hot:
-                        for o in range(len(s) - LENGTH + 1):
-                            d = hashlib.blake2b(s[o : o + LENGTH], digest_size=16).digest()
-                            out.append((seen[0][0], seen[0][1] + o, None, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
-            units, size = [], 0
+            several = [len(seen) > 1 for seen in unit.values()]
+            for (_, segment), seen in unit.items():
+                if len(seen) > 1:
+                    out.extend((k, a, a + len(segment), None, None) for k, a in seen)
+            if len(unit) > 1 and not all(several):
+                found = anchored_repeats([s[:n][::-1] for n, s in unit], [s[n:] for n, s in unit])
+                for ((n, _), seen), whole, parts in zip(unit.items(), several, found, strict=True):
+                    if parts and not whole:
+                        k, a = next(iter(seen))
+                        out.extend((k, a + n - left, a + n + right, None, None) for left, right in set(parts))
+            if spread:
+                for (_, s), seen in unit.items():
+                    k, a = min(seen)
+                    for o in range(len(s) - LENGTH + 1):
+                        d = hashlib.blake2b(s[o : o + LENGTH], digest_size=16).digest()
+                        out.append((k, a + o, None, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
+            unit.clear()
 
         for batch in batches:
-            for h, salt, segment, keys, starts, hot in zip(*(batch.column(n).to_pylist() for n in ("h", "salt", "segment", "keys", "starts", "hot")), strict=True):
+            for h, salt, before, segment, keys, starts, hot in zip(*(batch.column(n).to_pylist() for n in ("h", "salt", "before", "segment", "keys", "starts", "hot")), strict=True):
                 if at != (h, salt):
-                    if size >= BATCH_BYTES:
-                        solve()
-                    at = h, salt
-                    units.append((hot, {}))
-                seen = units[-1][1]
-                if segment not in seen:
-                    seen[segment] = []
-                    size += len(segment)
-                seen[segment] += zip(keys, starts, strict=True)
+                    solve()
+                    at, spread = (h, salt), hot
+                unit.setdefault((before, segment), set()).update(zip(keys, starts, strict=True))
             if len(out) >= 20_000:
                 yield _mark_batch(out)
                 out.clear()
@@ -310,20 +256,25 @@ def repeat_ranges(docs: DataFrame, unit: int = UNIT) -> tuple[DataFrame, DataFra
     prepare(docs.sparkSession)
     texts = docs.select("doc_id", "text", F.xxhash64(F.coalesce("doc_id", F.lit(-1).cast("long")), F.col("doc_id").isNull(), "text").alias("key"))
     found = _anchor_rows(texts.select("key", "text")).checkpoint()
-    one = found.select("key", F.explode(F.arrays_zip("h", "place", "n")).alias("x")).select("key", F.col("x.h").alias("h"), F.col("x.place").alias("p"), F.col("x.n").alias("n"))
-    counted = one.withColumn("total", F.sum("n").over(Window.partitionBy("h"))).where("total > 1").checkpoint()
-    hot = counted.where(F.col("total") > unit).groupBy("h").agg(F.max("total").alias("total"))
+    one = found.select("key", F.explode(F.arrays_zip("h", "place")).alias("x")).select("key", F.col("x.h").alias("h"), F.col("x.place").alias("p"))
+    met_again = one.withColumn("blocks", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("blocks > 1").select("key", F.struct("p", "h").alias("f"))
     again = found.select("key", F.explode(F.arrays_zip("again", "again_h")).alias("x")).select("key", F.struct(F.col("x.again").alias("p"), F.col("x.again_h").alias("h")).alias("f"))
-    flagged = counted.where("n = 1").select("key", F.struct("p", "h").alias("f")).unionByName(again).groupBy("key").agg(F.collect_set("f").alias("flagged"))
-    segments = _segments(texts.select("key", "text").join(flagged, "key").select("key", "text", "flagged"))
-    dealt = segments.join(hot, "h", "left").withColumn("salt", F.when(F.col("total").isNotNull(), F.pmod(F.xxhash64("segment"), F.ceil(F.col("total") / unit).cast("long"))).otherwise(0).cast("long")).withColumn("hot", F.col("total").isNotNull())
-    marks = _marks(dealt.select("h", "salt", "segment", "keys", "starts", "hot").repartition("h", "salt").sortWithinPartitions("h", "salt")).checkpoint()
-    across = Window.partitionBy("x", "y")
-    place = F.struct("key", "a")
-    met = marks.where("x is not null").withColumn("low", F.min(place).over(across)).withColumn("high", F.max(place).over(across)).where("low != high").select("key", "a", (F.col("a") + LENGTH).alias("b"))
+    flagged = met_again.unionByName(again).groupBy("key").agg(F.collect_set("f").alias("flagged")).checkpoint()
+    hot = flagged.select(F.explode("flagged.h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("total")).where(F.col("total") > unit)
+    segments = _segments(texts.join(flagged, "key").select("doc_id", "text", "key", "flagged"))
+    if any_hot := hot.limit(1).count() > 0:
+        segments = segments.join(hot, "h", "left").withColumn("salt", F.when(F.col("total").isNotNull(), F.pmod(F.xxhash64("segment"), F.ceil(F.col("total") / unit).cast("long"))).otherwise(0).cast("long")).withColumn("hot", F.col("total").isNotNull())
+    else:
+        segments = segments.withColumn("salt", F.lit(0).cast("long")).withColumn("hot", F.lit(False))
+    marks = _marks(segments.select("h", "salt", "before", "segment", "keys", "starts", "hot").repartition("h", "salt").sortWithinPartitions("h", "salt"))
+    ranges = marks.where("b is not null").select("key", "a", "b")
+    if any_hot:
+        across, place = Window.partitionBy("x", "y"), F.struct("key", "a")
+        met = marks.where("x is not null").withColumn("low", F.min(place).over(across)).withColumn("high", F.max(place).over(across)).where("low != high")
+        ranges = marks.where("b is not null").select("key", "a", "b").unionByName(met.select("key", "a", (F.col("a") + LENGTH).alias("b")))
     # rows that repeat with their id have one key
     whole = found.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.max("size").alias("b")).where((F.col("rows") > 1) & (F.col("b") >= LENGTH)).select("key", F.lit(0).cast("long").alias("a"), "b")
-    ranges = marks.where("b is not null").select("key", "a", "b").unionByName(met).unionByName(whole).groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
+    ranges = ranges.unionByName(whole).groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
     return texts, ranges
 
 
