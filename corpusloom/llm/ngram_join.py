@@ -38,6 +38,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import id_and_text, prepare
 
 UNIT = 5000
+#: Short lists of more entries than this are merged by sorting and the long ones probed for all candidates at once; the result is the heap's.
+SORT_MERGE = 4096
 #: DivideSkip's factor for the share of lists that are probed.
 LONG_FACTOR = 0.01
 SMALL_PART = 3
@@ -154,6 +156,13 @@ def divide_skip(lists: list[list[int]], need: int) -> list[tuple[int, int]]:
     n_long = min(need - 1, int(need / (LONG_FACTOR * math.log2(len(lists[-1]) + 1) + 1)))
     short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
     least, out = need - n_long, []
+    if sum(map(len, short)) > SORT_MERGE:
+        values, count = np.unique(np.concatenate([np.array(x) for x in short]), return_counts=True)
+        values, count = values[count >= least], count[count >= least]
+        for x in long:
+            x = np.array(x)
+            count += x[np.minimum(np.searchsorted(x, values), len(x) - 1)] == values
+        return list(zip(values[count >= need].tolist(), count[count >= need].tolist(), strict=True))
     heap = [(x[0], i, 0) for i, x in enumerate(short)]
     heapq.heapify(heap)
     while len(heap) >= least:
