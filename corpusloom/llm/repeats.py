@@ -172,10 +172,10 @@ def _segments(rows: DataFrame) -> DataFrame:
     """(doc_id, text, key, flagged) to segments: h, bytes before the anchor, segment, and key and start of every occurrence in the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int, bytes], tuple[list[int], list[int]]] = {}
+        held: dict[tuple[int, int, bytes, int], tuple[list[int], list[int]]] = {}
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.int64()), pa.array([k[1] for k in held], pa.int64()), pa.array([k[2] for k in held], pa.binary()), pa.array([v[0] for v in held.values()], pa.list_(pa.int64())), pa.array([v[1] for v in held.values()], pa.list_(pa.int64()))], names=["h", "before", "segment", "keys", "starts"])
+            out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.int64()), pa.array([k[1] for k in held], pa.int64()), pa.array([k[2] for k in held], pa.binary()), pa.array([k[3] for k in held], pa.int64()), pa.array([v[0] for v in held.values()], pa.list_(pa.int64())), pa.array([v[1] for v in held.values()], pa.list_(pa.int64()))], names=["h", "before", "segment", "units", "keys", "starts"])
             held.clear()
             return out
 
@@ -186,14 +186,14 @@ def _segments(rows: DataFrame) -> DataFrame:
                     p = x["p"]
                     before = p >> 8 & 255
                     a = (p >> 16) - before
-                    keys, starts = held.setdefault((x["h"], before, raw[a : a + (p & 255) + LENGTH]), ([], []))
+                    keys, starts = held.setdefault((x["h"], before, raw[a : a + (p & 255) + LENGTH], x["k"]), ([], []))
                     keys.append(key)
                     starts.append(a)
                 if len(held) >= BLOCK_SEGMENTS:
                     yield flush()
         yield flush()
 
-    return rows.mapInArrow(run, "h long, before long, segment binary, keys array<long>, starts array<long>")
+    return rows.mapInArrow(run, "h long, before long, segment binary, units long, keys array<long>, starts array<long>")
 
 
 def _marks(segments: DataFrame) -> DataFrame:
@@ -259,13 +259,16 @@ def repeat_ranges(docs: DataFrame, unit: int = UNIT) -> tuple[DataFrame, DataFra
     one = found.select("key", F.explode(F.arrays_zip("h", "place")).alias("x")).select("key", F.col("x.h").alias("h"), F.col("x.place").alias("p"))
     met_again = one.withColumn("blocks", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("blocks > 1").select("key", F.struct("p", "h").alias("f"))
     again = found.select("key", F.explode(F.arrays_zip("again", "again_h")).alias("x")).select("key", F.struct(F.col("x.again").alias("p"), F.col("x.again_h").alias("h")).alias("f"))
-    flagged = met_again.unionByName(again).groupBy("key").agg(F.collect_set("f").alias("flagged")).checkpoint()
-    hot = flagged.select(F.explode("flagged.h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("total")).where(F.col("total") > unit)
-    segments = _segments(texts.join(flagged, "key").select("doc_id", "text", "key", "flagged"))
+    flags = met_again.unionByName(again).distinct().checkpoint()
+    hot = flags.groupBy("f.h").agg(F.count(F.lit(1)).alias("total")).where(F.col("total") > unit)
+    # how many units an anchor is dealt over goes with its places, so that segments move once
     if any_hot := hot.limit(1).count() > 0:
-        segments = segments.join(hot, "h", "left").withColumn("salt", F.when(F.col("total").isNotNull(), F.pmod(F.xxhash64("segment"), F.ceil(F.col("total") / unit).cast("long"))).otherwise(0).cast("long")).withColumn("hot", F.col("total").isNotNull())
+        flags = flags.join(hot, F.col("f.h") == hot.h, "left").select("key", F.struct("f.p", "f.h", F.coalesce(F.ceil(F.col("total") / unit), F.lit(1)).cast("long").alias("k")).alias("f"))
     else:
-        segments = segments.withColumn("salt", F.lit(0).cast("long")).withColumn("hot", F.lit(False))
+        flags = flags.select("key", F.struct("f.p", "f.h", F.lit(1).cast("long").alias("k")).alias("f"))
+    flagged = flags.groupBy("key").agg(F.collect_list("f").alias("flagged"))
+    segments = _segments(texts.join(flagged, "key").select("doc_id", "text", "key", "flagged"))
+    segments = segments.withColumn("salt", F.when(F.col("units") > 1, F.pmod(F.xxhash64("segment"), F.col("units"))).otherwise(0).cast("long")).withColumn("hot", F.col("units") > 1)
     marks = _marks(segments.select("h", "salt", "before", "segment", "keys", "starts", "hot").repartition("h", "salt").sortWithinPartitions("h", "salt"))
     ranges = marks.where("b is not null").select("key", "a", "b")
     if any_hot:
