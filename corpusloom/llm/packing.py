@@ -13,6 +13,7 @@ gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections import defaultdict
 
@@ -31,15 +32,29 @@ _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", " \t\n\r"
 _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 
+def byte_signs() -> dict[str, int]:
+    """The characters that byte-level vocabularies write bytes with: printable ones as themselves, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
 class Encoder:
-    """Ids as little-endian 32-bit bytes. Keeps the ids of pre-tokens it has met, at most LIMIT."""
+    """Ids as little-endian 32-bit bytes. Keeps the ids of pre-tokens it has met, at most LIMIT.
+
+    New pre-tokens are merged by tiktoken under the ranks of the tokenizer's own vocabulary, where ids follow merge order;
+    texts that the split leaves whole go to the tokenizer itself."""
 
-    LIMIT = 300_000
+    LIMIT = 400_000
 
     def __init__(self, path: str) -> None:
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        signs = byte_signs()
+        ranks = {bytes(signs[c] for c in token): i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if all(c in signs for c in token) and not token.startswith("<|")}
+        self.merge = tiktoken.Encoding("own", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def __call__(self, text: str) -> bytes:
         if _ODD.search(text):
@@ -52,8 +67,9 @@ class Encoder:
         if len(known) + len(new) > self.LIMIT:
             known.clear()
             new = list(dict.fromkeys(words))
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
+        for w in new:
+            ids = self.merge(w.encode())
+            known[w] = struct.pack(f"<{len(ids)}I", *ids)
         return b"".join(map(known.__getitem__, words))
 
 
