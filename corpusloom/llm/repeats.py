@@ -34,6 +34,7 @@ from corpusloom.llm.ngram_join import _BYTE, _power, mix
 LENGTH, K = 200, 32
 REACH = LENGTH - K
 UNIT = 20_000
+SPREAD = 64
 BLOCK_ANCHORS, BLOCK_SEGMENTS = 200_000, 20_000
 TEXT_BLOCK = 1 << 19
 
@@ -263,7 +264,11 @@ def repeat_ranges(docs: DataFrame, unit: int = UNIT) -> tuple[DataFrame, DataFra
     hot = flags.groupBy("f.h").agg(F.count(F.lit(1)).alias("total")).where(F.col("total") > unit)
     # how many units an anchor is dealt over goes with its places, so that segments move once
     if any_hot := hot.limit(1).count() > 0:
-        flags = flags.join(hot, F.col("f.h") == hot.h, "left").select("key", F.struct("f.p", "f.h", F.coalesce(F.ceil(F.col("total") / unit), F.lit(1)).cast("long").alias("k")).alias("f"))
+        # a hot anchor's places are spread over SPREAD parts, and its row is copied to each: at most SPREAD rows for every `unit` places
+        part = F.pmod(F.xxhash64("key", "f.p"), F.lit(SPREAD)).cast("int")
+        hot = hot.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+        flags = flags.withColumn("part", part)
+        flags = flags.join(hot, (F.col("f.h") == hot.h) & (flags.part == hot.part), "left").select("key", F.struct("f.p", "f.h", F.coalesce(F.ceil(F.col("total") / unit), F.lit(1)).cast("long").alias("k")).alias("f"))
     else:
         flags = flags.select("key", F.struct("f.p", "f.h", F.lit(1).cast("long").alias("k")).alias("f"))
     flagged = flags.groupBy("key").agg(F.collect_list("f").alias("flagged"))
