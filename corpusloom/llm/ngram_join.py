@@ -192,13 +192,19 @@ def divide_skip(lists: list[list[int]], need: int) -> list[tuple[int, int]]:
 
 
 class Unit:
-    """Documents of a block, one after the other; components by union-find over positions."""
-
-    def __init__(self, rule: Rule) -> None:
-        self.rule = rule
-        self.sets: list[np.ndarray] = []
-        self.parent: list[int] = []
-        self.index: dict[int, list[int]] = {}
+    """Documents of a block, one after the other; components by union-find over positions.
+
+    All sets are given first, so that the inverted lists are slices of one array, and only of grams that two documents of the
+    unit share: a gram of one document is in no overlap."""
+
+    def __init__(self, rule: Rule, sets: list[np.ndarray]) -> None:
+        self.rule, self.sets = rule, sets
+        self.parent = list(range(len(sets)))
+        grams, count = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
+        self.shared, count = grams[count > 1], count[count > 1]
+        self.start = np.cumsum(count) - count
+        self.end = self.start.copy()  # of the entries so far
+        self.entries = np.empty(int(count.sum()), np.int32)
         self.leaders: list[int] = []
         self.members: list[list[tuple[int, float]]] = []  # by leader: (position, distance)
 
@@ -212,17 +218,20 @@ class Unit:
         a, b = self.find(a), self.find(b)
         self.parent[max(a, b)] = min(a, b)
 
-    def add(self, grams: np.ndarray) -> bool:
-        """Adds a document; whether it leads a cluster now."""
-        q = len(self.sets)
-        self.sets.append(grams)
-        self.parent.append(q)
+    def places(self, grams: np.ndarray) -> np.ndarray:
+        """Where the lists of the shared ones among grams are."""
+        at = np.searchsorted(self.shared, grams)
+        at, grams = at[at < len(self.shared)], grams[at < len(self.shared)]
+        return at[self.shared[at] == grams]
+
+    def add(self, q: int) -> bool:
+        """Adds the document at position q; whether it leads a cluster now."""
         percent, wide = self.rule.percent, max(1, 2 * self.rule.percent - 100)
-        tokens = grams.tolist()
-        lists = [x for t in tokens if (x := self.index.get(t)) is not None]
+        size, own = len(self.sets[q]), self.places(self.sets[q])
+        lists = [self.entries[a:b].tolist() for a, b in zip(self.start[own].tolist(), self.end[own].tolist(), strict=True) if a < b]
         near, home = [], None
-        for r, both in divide_skip(lists, -(-wide * len(tokens) // 100)):
-            either = len(tokens) + len(self.sets[self.leaders[r]]) - both
+        for r, both in divide_skip(lists, -(-wide * size // 100)):
+            either = size + len(self.sets[self.leaders[r]]) - both
             if 100 * both >= percent * either:
                 self.union(q, self.leaders[r])
                 if home is None or both / either > home[0]:
@@ -238,8 +247,8 @@ class Unit:
         if home:
             self.members[home[1]].append((q, 1 - home[0]))
             return False
-        for t in tokens:
-            self.index.setdefault(t, []).append(len(self.leaders))
+        self.entries[self.end[own]] = len(self.leaders)
+        self.end[own] += 1
         self.leaders.append(q)
         self.members.append([])
         return True
@@ -320,16 +329,21 @@ def _search(sets: DataFrame, rule: Rule) -> DataFrame:
     """(block, unit, key, doc_id, grams, label) by unit to (block, key, doc_id, root, leads): root is the smallest id of the component within the unit; rows that share a label are connected before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, at, rows, labels, out = Unit(rule), None, [], {}, []
+        at, rows, sets, labels, out = None, [], [], [], []
 
         def close() -> None:
-            nonlocal unit, rows, labels
+            unit, first, leads = Unit(rule, sets), {}, []
+            for i, label in enumerate(labels):
+                leads.append(unit.add(i))
+                if label is not None:
+                    unit.union(first.setdefault(label, i), i)
             low: dict[int, int] = {}
             for i, r in enumerate(rows):
                 root = unit.find(i)
                 low[root] = min(low.get(root, r[2]), r[2])
-            out.extend((*r, low[unit.find(i)]) for i, r in enumerate(rows))
-            unit, rows, labels = Unit(rule), [], {}
+            out.extend((*r, leads[i], low[unit.find(i)]) for i, r in enumerate(rows))
+            for x in (rows, sets, labels):
+                x.clear()
 
         for batch in batches:
             for block, number, key, doc, grams, label in zip(*(batch.column(n).to_pylist() for n in ("block", "unit", "key", "doc_id", "grams", "label")), strict=True):
@@ -338,10 +352,9 @@ def _search(sets: DataFrame, rule: Rule) -> DataFrame:
                     at = block, number
                 if rows and rows[-1][1] == key:
                     continue
-                leads = unit.add(np.frombuffer(grams, "<u8"))
-                if label is not None:
-                    unit.union(labels.setdefault(label, len(rows)), len(rows))
-                rows.append((block, key, doc, leads))
+                rows.append((block, key, doc))
+                sets.append(np.frombuffer(grams, "<u8"))
+                labels.append(label)
             if len(out) >= 10_000:
                 yield _found(out)
                 out.clear()
