@@ -1,13 +1,16 @@
-"""N-gram Jaccard join by T-occurrence search (DivideSkip), over partition signatures.
+"""N-gram Jaccard join by T-occurrence search (DivideSkip), in blocks of documents that share rare grams.
 
 A document's set is its distinct word n-grams, as 64-bit hashes. Documents of equal sets are one class, found by a key of the
 set; the join is between classes.
 
-1. Signatures. Two sets that link differ in at most D elements, D following from their sizes. The hash range is cut into D+1+e
-   parts, so at least 1+e parts of such sets are equal: the hashes of a set's parts are its signatures (by size class). A set
-   with at most e small parts needs only the others. Blocks of a task's own rows keep one row of a signature and link the
-   others to it, so that no signature has more rows than there are blocks.
-2. Candidate blocks are the connected components of rows that share a signature: no link goes between blocks. Every set goes to
+1. Rare grams. Grams have one order: by the power of two of the number of documents (classes of a chunk) with them, then by
+   hash. Two sets that link share a gram among the n - ceil(percent * n / 100) + 1 first ones of either, so these are a set's
+   index keys, less those that no other set has. Passages that many documents share come last in the order, and are keys of a
+   set only where little else is in it. Numbers of documents come from one exchange: chunks of about CHUNK_GRAMS grams send
+   48-bit prints of them by ranges of the print, with the place of the owner in the chunk, and get back what others have too.
+   Equal prints of different grams only add candidates, as prints are what is counted and ordered. A chunk keeps one row of a
+   key and links the others to it, so that no key has more rows than there are chunks.
+2. Candidate blocks are the connected components of rows that share a key: no link goes between blocks. Every set goes to
    its block once.
 3. In a block, documents are queries one by one. Lists of the documents so far that lead a cluster are searched for those with
    the required overlap: the short lists are heap-merged with skips, the long ones probed by binary search. A document that
@@ -24,7 +27,9 @@ empty table gives an empty result; other columns are not read. Two different set
 
 from __future__ import annotations
 
+import hashlib
 import heapq
+import itertools
 import math
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -32,6 +37,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,8 +48,12 @@ UNIT = 5000
 SORT_MERGE = 4096
 #: DivideSkip's factor for the share of lists that are probed.
 LONG_FACTOR = 0.01
-SMALL_PART = 3
-BLOCK_SIGNATURES = 400_000
+#: A chunk of documents whose grams are counted together; its documents are under 2**16.
+CHUNK_GRAMS, CHUNK_ROWS = 1_000_000, 20_000
+#: Bits of a gram's print, and bytes of text for which there is a range of prints. Over MOST_RANGES, ranges grow with the input.
+PRINT_BITS, RANGE_BYTES, LEAST_RANGES, MOST_RANGES = 48, 4_000_000, 256, 1 << 17
+#: Rows of (id, key, block, size) that are broadcast at most, about 20 MB; more of them are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 TEXT_BLOCK = 1 << 20
 
 _RNG = np.random.default_rng(20240229)
@@ -113,39 +123,24 @@ class Rule:
     words: int = 5
     percent: int = 80
 
-    @property
-    def ratio(self) -> float:
-        return 1.25 if self.percent >= 90 else 1.5
-
-    def difference(self, a: int, b: int) -> int:
-        """The most elements in which linked sets of these sizes differ."""
-        return (100 - self.percent) * (a + b) // (100 + self.percent)
-
-    def classes(self, size: int) -> list[tuple[int, int, int]]:
-        """(number, D, e) of the size classes in which a set meets its partners: the class of the larger one."""
-        most = size * 100 // self.percent
-        out = []
-        for c in range(int(math.log(size) / math.log(self.ratio)) - 1, int(math.log(most) / math.log(self.ratio)) + 2):
-            low, high = math.ceil(self.ratio**c), math.ceil(self.ratio ** (c + 1)) - 1
-            if max(low, size) <= min(high, most):
-                d = self.difference(high, high)
-                out.append((c, d, d // 10))
-        return out
-
-    def signatures(self, grams: np.ndarray) -> np.ndarray:
-        out = []
-        mixed = mix(grams ^ np.uint64(0xE7037ED1A0B428DB))
-        for c, d, e in self.classes(len(grams)):
-            parts = d + 1 + e
-            bounds = np.searchsorted(grams, np.array([(i << 64) // parts for i in range(1, parts)], np.uint64))
-            edge = np.concatenate([[0], bounds, [len(grams)]])
-            size = np.diff(edge)
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)])
-            value = mix(total[edge[1:]] - total[edge[:-1]] + size.astype(np.uint64))
-            value = mix(value + np.arange(parts, dtype=np.uint64) * np.uint64(0x8EBC6AF09C88C6E3) + np.uint64((c + 3) * 0x589965CC75374CC3 & (1 << 64) - 1))
-            small = size < SMALL_PART
-            out.append(value[~small] if small.sum() <= e else value)
-        return np.concatenate(out)
+    def prefix(self, size: int) -> int:
+        """So many first grams of a set, in any order of all grams, share one with every set that links."""
+        return size - -(-self.percent * size // 100) + 1
+
+
+def pack(prints: np.ndarray) -> bytes:
+    """Ascending prints as byte planes of their differences."""
+    step = np.diff(prints, prepend=np.uint64(0))
+    width = max(1, (int(step[1:].max(initial=0)).bit_length() + 7) // 8)
+    return prints[:1].tobytes() + bytes([width]) + step[1:].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    first, width = np.frombuffer(raw, "<u8", 1), raw[8]
+    planes = np.frombuffer(raw, np.uint8, offset=9).reshape(width, -1)
+    step = np.zeros((planes.shape[1], 8), np.uint8)
+    step[:, :width] = planes.T
+    return np.cumsum(np.concatenate([first, step.reshape(-1).view("<u8")]), dtype=np.uint64)
 
 
 def divide_skip(lists: list[list[int]], need: int) -> list[tuple[int, int]]:
@@ -279,50 +274,138 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return both.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(both.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
-def _profiles(rows: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n, key, signatures kept by this row, keys that it shares others with."""
+_CHUNK = "chunk long, mark long, ids array<long>, sizes array<long>, keys array<long>, prints binary, owners binary"
+_LONGS = pa.list_(pa.int64())
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "array<long>": _LONGS}
+    fields = [f.split(" ") for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[t]) for i, (_, t) in enumerate(fields)], names=[f for f, _ in fields])
+
+
+def _chunks(rows: DataFrame, rule: Rule, bits: int) -> DataFrame:
+    """Chunks of documents: a row with ids, sizes and keys, and for each range of prints a row with the prints and their owners."""
+    schema = f"span long, {_CHUNK}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sizes, keys, parts, seen, count = [], [], [], [], set(), 0
+        place, number = TaskContext.get().partitionId(), 0
+        ids, sizes, keys, sets, owner, seen, count = [], [], [], [], [], set(), 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal ids, sizes, keys, parts, seen, count
-            n = np.array([len(p) for p in parts], np.int64)
-            all_parts = np.concatenate([*parts, np.zeros(0, np.uint64)])
-            owner = np.repeat(np.arange(len(parts)), n)
-            _, first, inverse = np.unique(all_parts, return_index=True, return_inverse=True)
-            own = np.zeros(len(all_parts), bool)
-            own[first] = True
-            kept, links = [[] for _ in parts], [[] for _ in parts]
-            own_at = np.flatnonzero(own)
-            split = np.searchsorted(owner[own_at], np.arange(len(parts) + 1))
-            values = all_parts.view(np.int64)
-            kept = [values[own_at[a:b]] for a, b in zip(split[:-1], split[1:], strict=True)]
-            for i, j in set(zip(owner[~own].tolist(), owner[first[inverse[~own]]].tolist(), strict=True)):
-                if keys[i] != keys[j]:
-                    links[i].append(keys[j])
-            out = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(kept, pa.list_(pa.int64())), pa.array(links, pa.list_(pa.int64()))], names=["doc_id", "n", "key", "kept", "links"])
-            ids, sizes, keys, parts, seen, count = [], [], [], [], set(), 0
-            return out
+            prints = np.concatenate([*sets, np.zeros(0, np.uint64)]) >> np.uint64(64 - PRINT_BITS)
+            owners = np.repeat(np.array(owner, np.uint16), [len(x) for x in sets])
+            order = np.argsort(prints, kind="stable")
+            prints, owners = prints[order], owners[order]
+            chunk, mark = place << 32 | number, int.from_bytes(hashlib.blake2b(repr((ids, keys)).encode(), digest_size=8).digest(), "little", signed=True)
+            cut = np.searchsorted(prints, np.arange(1 << bits, dtype=np.uint64) << np.uint64(PRINT_BITS - bits))
+            out = [(chunk % (1 << bits), chunk, mark, ids, sizes, keys, None, None)]
+            out += [(i, chunk, mark, None, None, None, pack(prints[a:b]), owners[a:b].tobytes()) for i, (a, b) in enumerate(itertools.pairwise([*cut.tolist(), len(prints)])) if a < b]
+            return _batch(out, schema)
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 grams = gram_set(text, rule.words)
                 key = set_key(grams)
-                new = len(grams) and key not in seen
-                seen.add(key)
-                part = rule.signatures(grams) if new else np.zeros(0, np.uint64)
+                if len(grams) and key not in seen:
+                    seen.add(key)
+                    sets.append(grams)
+                    owner.append(len(ids))
+                    count += len(grams)
                 ids.append(doc)
                 sizes.append(len(grams))
                 keys.append(key)
-                parts.append(part)
-                count += len(part)
-                if count >= BLOCK_SIGNATURES or len(ids) >= 20_000:
+                if count >= CHUNK_GRAMS or len(ids) >= CHUNK_ROWS:
                     yield flush()
+                    number += 1
+                    ids, sizes, keys, sets, owner, seen, count = [], [], [], [], [], set(), 0
         if ids:
             yield flush()
 
-    return rows.mapInArrow(run, "doc_id long, n long, key long, kept array<long>, links array<long>")
+    return rows.mapInArrow(run, schema)
+
+
+def _shared_prints(chunks: DataFrame) -> DataFrame:
+    """By range of prints, those that occur twice or more, each with its level (the power of two of its number) above the print: an order of grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span, held = None, []
+
+        def close() -> pa.RecordBatch:
+            prints = [unpack(r[2]) for r in held]
+            _, inverse, count = np.unique(np.concatenate([*prints, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+            level = (np.frexp(count)[1] - 1).astype(np.uint64)[inverse]
+            out, at = [], 0
+            for (chunk, mark, _, owners), x in zip(held, prints, strict=True):
+                high = level[at : at + len(x)]
+                at += len(x)
+                if (pick := high > 0).any():
+                    out.append((chunk, mark, None, None, None, (high << np.uint64(PRINT_BITS) | x)[pick].tobytes(), np.frombuffer(owners, np.uint16)[pick].tobytes()))
+            held.clear()
+            return _batch(out, _CHUNK)
+
+        for batch in batches:
+            for row in zip(*(batch.column(n).to_pylist() for n in ("span", "chunk", "mark", "ids", "sizes", "keys", "prints", "owners")), strict=True):
+                if row[3] is not None:
+                    yield _batch([row[1:]], _CHUNK)
+                    continue
+                if row[0] != span and held:
+                    yield close()
+                span = row[0]
+                held.append((row[1], row[2], row[6], row[7]))
+        if held:
+            yield close()
+
+    return chunks.repartition("span").sortWithinPartitions("span").mapInArrow(run, _CHUNK)
+
+
+def _profiles(rows: DataFrame, rule: Rule) -> DataFrame:
+    """doc_id, n, key, index keys kept by this row, keys of sets that it shares others with."""
+    schema = "doc_id long, n long, key long, kept array<long>, links array<long>"
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(LEAST_RANGES, min(MOST_RANGES, size // RANGE_BYTES)).bit_length() - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held = None, []
+
+        def close() -> pa.RecordBatch:
+            info = [r for r in held if r[1] is not None]
+            if len(info) != 1 or len({r[0] for r in held}) != 1:
+                raise RuntimeError("a chunk was read again with other rows: the input has to be a stable one, as files or a checkpoint are")
+            _, ids, sizes, keys, _, _ = info[0]
+            grams = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r[4], "<u8") for r in held if r[1] is None)])
+            owner = np.concatenate([np.zeros(0, np.uint16), *(np.frombuffer(r[5], np.uint16) for r in held if r[1] is None)]).astype(np.int64)
+            order = np.lexsort((grams, owner))
+            grams, owner = grams[order], owner[order]
+            n_shared = np.bincount(owner, minlength=len(ids))
+            start = np.cumsum(n_shared) - n_shared
+            # a set's grams without a second owner come first in the order
+            wanted = np.array([rule.prefix(n) for n in sizes]) - (np.array(sizes) - n_shared)
+            pick = np.arange(len(grams)) - start[owner] < wanted[owner]
+            grams, owner = grams[pick], owner[pick]
+            _, first, inverse = np.unique(grams, return_index=True, return_inverse=True)
+            own = np.zeros(len(grams), bool)
+            own[first] = True
+            links = [[] for _ in ids]
+            for i, j in set(zip(owner[~own].tolist(), owner[first[inverse[~own]]].tolist(), strict=True)):
+                if keys[i] != keys[j]:
+                    links[i].append(keys[j])
+            at = np.flatnonzero(own)
+            split = np.searchsorted(owner[at], np.arange(len(ids) + 1))
+            values = grams.view(np.int64)
+            held.clear()
+            return _batch([(ids[i], sizes[i], keys[i], values[at[split[i] : split[i + 1]]], links[i]) for i in range(len(ids))], schema)
+
+        for batch in batches:
+            for row in zip(*(batch.column(n).to_pylist() for n in ("chunk", "mark", "ids", "sizes", "keys", "prints", "owners")), strict=True):
+                if row[0] != chunk and held:
+                    yield close()
+                chunk = row[0]
+                held.append(row[1:])
+        if held:
+            yield close()
+
+    return _shared_prints(_chunks(rows, rule, bits)).repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, schema)
 
 
 def _search(sets: DataFrame, rule: Rule) -> DataFrame:
@@ -370,6 +453,11 @@ def _found(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["block", "key", "doc_id", "leads", "root"])
 
 
+def small(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast where it has at most BROADCAST_ROWS narrow rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def _sets(rows: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     """The sets of wanted (doc_id, key, block, size): block, size, key, doc_id, n, grams, low (its smallest gram)."""
 
@@ -384,7 +472,7 @@ def _sets(rows: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
                 names=["block", "size", "key", "doc_id", "n", "grams", "low"],
             )
 
-    return rows.join(wanted, "doc_id").mapInArrow(run, "block long, size long, key long, doc_id long, n long, grams binary, low long")
+    return rows.join(small(wanted), "doc_id").mapInArrow(run, "block long, size long, key long, doc_id long, n long, grams binary, low long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = Rule(), unit: int = UNIT) -> DataFrame:
@@ -398,7 +486,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     edges = paired.unionByName(profiles.select(F.col("key").alias("a"), F.explode("links").alias("b")))
     blocks = components(edges)
     sizes = blocks.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    wanted = blocks.join(sizes, "label").join(classes, blocks.node == classes.key).select(F.col("rep").alias("doc_id"), "key", F.col("label").alias("block"), "size")
+    wanted = blocks.join(sizes, "label").join(classes, blocks.node == classes.key).select(F.col("rep").alias("doc_id"), "key", F.col("label").alias("block"), "size").checkpoint()
     sets = _sets(rows, wanted, rule)
     # the units of a large block are ranges of the smallest gram, which near copies mostly share
     sets = sets.withColumn("unit", F.when(F.col("size") > unit, F.floor(F.col("low") / ((1 << 63) * 1.0) * F.ceil(F.col("size") / unit))).otherwise(0).cast("long"))
@@ -435,5 +523,6 @@ def _across(rows: DataFrame, wanted: DataFrame, found: DataFrame, sets: DataFram
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = Rule()) -> DataFrame:
     """The rows of docs with the smallest id of their component, and rows with a null id. Whole copies are left to exact deduplication: rows of the id that stays all stay."""
-    first = jaccard_components(docs, id_col, text_col, rule).where("doc_id = component_id").select(F.col("doc_id").alias("_first_id")).distinct()
-    return docs.join(first, docs[id_col] == F.col("_first_id"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    found = jaccard_components(docs, id_col, text_col, rule).where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.expr("doc_id <=> component_id")).alias("stays"))
+    gone = found.where("not stays").select(F.col("doc_id").alias("_gone_id")).checkpoint()
+    return docs.join(small(gone), docs[id_col].cast("long") == F.col("_gone_id"), "left_anti")

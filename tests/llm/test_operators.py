@@ -91,6 +91,23 @@ def test_ngram_join(odd, empty, n, percent, unit):
     assert ngram_join.jaccard_components(empty).count() == 0
 
 
+@pytest.mark.parametrize(("n", "percent", "grams", "broadcast"), [(3, 90, 200, 0), (5, 80, 50, 500_000), (2, 60, 1, 0)])
+def test_ngram_join_small_chunks(odd, n, percent, grams, broadcast, monkeypatch):
+    rows, df = odd
+    monkeypatch.setattr(ngram_join, "CHUNK_GRAMS", grams)
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", broadcast)
+    got = ngram_join.jaccard_components(df.repartition(3, "doc_id").checkpoint(), rule=ngram_join.Rule(n, percent))
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == _join(rows, n, percent)
+
+
+def test_packed_prints():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 3, 1000):
+        for top in (2, 300, 1 << 20, 1 << 48, 1 << 63):
+            x = np.sort(rng.integers(0, top, n, np.uint64))
+            assert (ngram_join.unpack(ngram_join.pack(x)) == x).all()
+
+
 @pytest.mark.parametrize("merge", [0, 10**9])
 def test_divide_skip(merge, monkeypatch):
     monkeypatch.setattr(ngram_join, "SORT_MERGE", merge)
