@@ -9,13 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch: with texts of 100 kB still a few dozen MB.
-BATCH_ROWS = 512
+#: Rows, and bytes, in an Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Small Arrow batches, and a checkpoint folder: the cluster's own, or a temporary one where none is set."""
+    """Small Arrow batches (a row goes whole, so one of a very long text may be over the bytes), and a checkpoint folder: the cluster's own, or a temporary one where none is set."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     sc = spark.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-checkpoint-"))

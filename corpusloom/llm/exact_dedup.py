@@ -26,7 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpusloom.llm.common import prepare
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 LEAF_BYTES = 16 << 20
 MAX_LEAVES = 65_536
 #: Bytes after a node's known prefix that a round looks at for a longer common prefix.

@@ -49,12 +49,12 @@ SORT_MERGE = 4096
 #: DivideSkip's factor for the share of lists that are probed.
 LONG_FACTOR = 0.01
 #: A chunk of documents whose grams are counted together; its documents are under 2**16.
-CHUNK_GRAMS, CHUNK_ROWS = 1_000_000, 20_000
+CHUNK_GRAMS, CHUNK_ROWS = 500_000, 20_000
 #: Bits of a gram's print, and bytes of text for which there is a range of prints. Over MOST_RANGES, ranges grow with the input.
 PRINT_BITS, RANGE_BYTES, LEAST_RANGES, MOST_RANGES = 48, 4_000_000, 256, 1 << 17
 #: Rows of (id, key, block, size) that are broadcast at most, about 20 MB; more of them are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-TEXT_BLOCK = 1 << 20
+TEXT_BLOCK = 1 << 16
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(0, 1 << 64, 256, np.uint64)
