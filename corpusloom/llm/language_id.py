@@ -139,13 +139,17 @@ def language_ids(docs: DataFrame) -> DataFrame:
 
 
 def drop_unknown(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose language is predicted; rows and columns are otherwise unchanged."""
+    """The rows of docs whose language is predicted, or with nothing to learn from those with a letter; rows and columns are otherwise unchanged."""
     model = fit(docs, text_col=text_col)
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
-            found = shared.value.predict([t or "" for t in batch.column(at).to_pylist()])
-            yield batch.filter(pa.array([l != UNKNOWN for l, _ in found], pa.bool_()))
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            if shared.value.languages:
+                stays = [l != UNKNOWN for l, _ in shared.value.predict(texts)]
+            else:
+                stays = [_LETTER.search(t) is not None for t in texts]
+            yield batch.filter(pa.array(stays, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
