@@ -16,10 +16,14 @@ set; the join is between classes.
    the required overlap: the short lists are heap-merged with skips, the long ones probed by binary search. A document that
    links to a leader joins its cluster. By the triangle inequality of the Jaccard distance, links to members of other clusters
    are only possible where the leader is within twice the distance, and are tested there, unless both are connected already.
-   So all components come out exactly without testing all pairs of a group of near copies.
+   So all components come out exactly without testing all pairs of a group of near copies. At 50 percent or less twice the
+   distance bounds nothing: every document leads then.
 4. Blocks over UNIT documents are cut into units; then their leaders meet, and pairs of units are searched only while a block
    has more than one component.
 
+Sets are told apart by their key, never by doc_id: ids may be null or repeat. Sets of classes whose ids are all null are made
+again from the rows without an id. A component's smallest id is taken at the end.
+
 Defined results: null and empty texts, and texts without words, have an empty set and link with nothing; a text of fewer words
 than n is one gram; rows that repeat are of one class; a null id never is a component's smallest id unless all are null; an
 empty table gives an empty result; other columns are not read. Two different sets get one 64-bit key with a chance of 2**-64 a pair.
@@ -123,6 +127,15 @@ class Rule:
     words: int = 5
     percent: int = 80
 
+    def __post_init__(self) -> None:
+        if self.words < 1 or not 1 <= self.percent <= 100:
+            raise ValueError(f"words of at least 1 and a percent of 1 to 100 are needed, not {self.words} and {self.percent}")
+
+    @property
+    def wide(self) -> int:
+        """The least percent of a leader whose cluster may have a member that links; at 50 or less no clusters are made."""
+        return 2 * self.percent - 100 if self.percent > 50 else self.percent
+
     def prefix(self, size: int) -> int:
         """So many first grams of a set, in any order of all grams, share one with every set that links."""
         return size - -(-self.percent * size // 100) + 1
@@ -221,7 +234,7 @@ class Unit:
 
     def add(self, q: int) -> bool:
         """Adds the document at position q; whether it leads a cluster now."""
-        percent, wide = self.rule.percent, max(1, 2 * self.rule.percent - 100)
+        percent, wide = self.rule.percent, self.rule.wide
         size, own = len(self.sets[q]), self.places(self.sets[q])
         lists = [self.entries[a:b].tolist() for a, b in zip(self.start[own].tolist(), self.end[own].tolist(), strict=True) if a < b]
         near, home = [], None
@@ -239,7 +252,7 @@ class Unit:
                     if d + (100 - percent) / 100 + 1e-9 >= far and self.find(m) != self.find(q) and self.linked(m, q):
                         self.union(m, q)
                         break
-        if home:
+        if home and percent > 50:
             self.members[home[1]].append((q, 1 - home[0]))
             return False
         self.entries[self.end[own]] = len(self.leaders)
@@ -409,7 +422,7 @@ def _profiles(rows: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _search(sets: DataFrame, rule: Rule) -> DataFrame:
-    """(block, unit, key, doc_id, grams, label) by unit to (block, key, doc_id, root, leads): root is the smallest id of the component within the unit; rows that share a label are connected before."""
+    """(block, unit, key, doc_id, grams, label) by unit to (block, key, doc_id, leads, root): root is the smallest key of the component within the unit; rows that share a label are connected before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows, sets, labels, out = None, [], [], [], []
@@ -423,7 +436,7 @@ def _search(sets: DataFrame, rule: Rule) -> DataFrame:
             low: dict[int, int] = {}
             for i, r in enumerate(rows):
                 root = unit.find(i)
-                low[root] = min(low.get(root, r[2]), r[2])
+                low[root] = min(low.get(root, r[1]), r[1])
             out.extend((*r, leads[i], low[unit.find(i)]) for i, r in enumerate(rows))
             for x in (rows, sets, labels):
                 x.clear()
@@ -472,7 +485,20 @@ def _sets(rows: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
                 names=["block", "size", "key", "doc_id", "n", "grams", "low"],
             )
 
-    return rows.join(small(wanted), "doc_id").mapInArrow(run, "block long, size long, key long, doc_id long, n long, grams binary, low long")
+    schema = "block long, size long, key long, doc_id long, n long, grams binary, low long"
+    found = rows.join(small(wanted), "doc_id").mapInArrow(run, schema)
+    unnamed = wanted.where("doc_id is null")
+    if not unnamed.limit(1).count():
+        return found
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1)
+            yield pa.RecordBatch.from_arrays([texts, pa.array([set_key(gram_set(t, rule.words)) for t in texts.to_pylist()], pa.int64())], names=["text", "key"])
+
+    # a null id joins nothing: these rows are found by the key of their set
+    texts = rows.where("doc_id is null").distinct().mapInArrow(keys, "text string, key long").join(small(unnamed.drop("doc_id")), "key")
+    return found.unionByName(texts.dropDuplicates(["key"]).withColumn("doc_id", F.lit(None).cast("long")).mapInArrow(run, schema))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = Rule(), unit: int = UNIT) -> DataFrame:
@@ -492,12 +518,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = sets.withColumn("unit", F.when(F.col("size") > unit, F.floor(F.col("low") / ((1 << 63) * 1.0) * F.ceil(F.col("size") / unit))).otherwise(0).cast("long"))
     large = sizes.where(F.col("size") > unit).limit(1).count() > 0
     found = _search(sets.withColumn("label", F.lit(None).cast("long")), rule).checkpoint()
-    links = found.select(F.col("doc_id").alias("a"), F.col("root").alias("b"))
+    links = found.select(F.col("key").alias("a"), F.col("root").alias("b"))
     if large:
         joined = components(_across(rows, wanted, found, sets, links, rule, unit))
     else:  # units are whole blocks
         joined = links.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    low = classes.join(joined, classes.rep == joined.node, "left").select(F.col("key").alias("k"), F.coalesce("label", "rep").alias("component_id"), "class_size")
+    # from keys to ids: the smallest of a component that isn't null
+    least = joined.join(wanted.select(F.col("key").alias("node"), "doc_id"), "node").groupBy("label").agg(F.min("doc_id").alias("least"))
+    named = joined.join(least, "label").select("node", "least")
+    low = classes.join(named, classes.key == named.node, "left").select(F.col("key").alias("k"), F.coalesce("least", "rep").alias("component_id"), "class_size")
     own = profiles.select("doc_id", "n", F.when(F.col("n") > 0, F.col("key")).alias("key"))
     return own.join(low, own.key == low.k, "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
 
@@ -507,18 +536,18 @@ def _across(rows: DataFrame, wanted: DataFrame, found: DataFrame, sets: DataFram
     big = sets.where(F.col("size") > unit)
     leaders = big.join(found.where("leads").select("key", "root"), "key")
     # one leader of each component of a unit meets those of the other units
-    one = leaders.groupBy("block", "root").agg(F.min_by("key", "doc_id").alias("key")).select("key")
+    one = leaders.groupBy("block", "root").agg(F.min("key").alias("key")).select("key")
     met = _search(leaders.join(one, "key", "left_semi").select("block", F.lit(0).cast("long").alias("unit"), "key", "doc_id", "n", "grams", F.lit(None).cast("long").alias("label")), rule)
-    links = links.unionByName(met.select(F.col("doc_id").alias("a"), F.col("root").alias("b"))).checkpoint()
+    links = links.unionByName(met.select(F.col("key").alias("a"), F.col("root").alias("b"))).checkpoint()
     labels = components(links)
-    member = found.join(labels, found.doc_id == labels.node, "left").select("key", "block", F.coalesce("label", "doc_id").alias("label"))
+    member = found.join(labels, found.key == labels.node, "left").select("key", "block", F.coalesce("label", "key").alias("label"))
     several = member.groupBy("block").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("block")
     rest = big.join(several, "block", "left_semi").join(member.select("key", "label"), "key")
     n = F.ceil(F.col("size") / unit).cast("long")
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda j: F.when(j == F.col("unit"), F.lit(None).cast("long")).otherwise(F.least(j, F.col("unit")) * n + F.greatest(j, F.col("unit"))))
     spread = rest.withColumn("unit", F.explode(pairs)).where("unit is not null").select("block", "unit", "key", "doc_id", "n", "grams", "label")
     more = _search(spread, rule)
-    return links.unionByName(more.select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
+    return links.unionByName(more.select(F.col("key").alias("a"), F.col("root").alias("b")))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = Rule()) -> DataFrame:
