@@ -35,17 +35,21 @@ def glob_regex(glob: str) -> str:
 
 
 def local_files(spark: SparkSession, base: str, glob: str = "**/*", exclude: str | None = None) -> DataFrame:
-    """source, relative, mtime, size, kind, format and content (read only if selected)."""
+    """source, relative, mtime, size, kind, format, content (read only if selected) and reason: files over MAX_FILE bytes are failures with a reason and no content."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
     relative = F.regexp_replace("path", "^.*?" + re.escape(base.rstrip("/")) + "/", "")
     rows = files.select(F.col("path").alias("source"), relative.alias("relative"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), X.kind_of(F.col("path")).alias("kind"), X.extension(F.col("path")).alias("format"), "content")
-    rows = rows.where(F.col("relative").rlike(glob_regex(glob)) & (F.col("size") <= MAX_FILE))
-    return rows.where(~F.col("relative").rlike(exclude)) if exclude else rows
+    rows = rows.where(F.col("relative").rlike(glob_regex(glob)))
+    rows = rows.where(~F.col("relative").rlike(exclude)) if exclude else rows
+    # the content of a large file is never read
+    large = rows.where(F.col("size") > MAX_FILE).withColumns({"content": F.lit(None).cast("binary"), "reason": F.concat(F.col("size"), F.lit(f" bytes are over {MAX_FILE}"))})
+    return rows.where(F.col("size") <= MAX_FILE).withColumn("reason", F.lit(None).cast("string")).unionByName(large)
 
 
 def decode_text(rows: DataFrame) -> DataFrame:
-    """Text files as UTF-8 without a byte order mark; others are left out."""
-    return rows.where(X.is_text(F.col("content"))).withColumn("content", F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", ""))
+    """Text files as UTF-8 without a byte order mark, and failures; others are left out."""
+    failed = F.col("reason").isNotNull() if "reason" in rows.columns else F.lit(False)
+    return rows.where(failed | X.is_text(F.col("content"))).withColumn("content", F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", ""))
 
 
 def _safe(name: str) -> bool:
@@ -53,28 +57,29 @@ def _safe(name: str) -> bool:
 
 
 def members(name: str, data: bytes, most_files: int = MAX_MEMBERS, most_bytes: int = MAX_ARCHIVE) -> Iterator[tuple[str, bytes]]:
-    """Files of a zip, tar (gz, bz2, xz) or single gz; unsafe paths and links are skipped, counts and bytes are bounded while reading."""
+    """Files of a zip, tar (gz, bz2, xz) or single gz; unsafe paths and links are skipped; more files or bytes than the bounds are an error, raised while reading."""
     files = size = 0
 
-    def ok(n: int) -> bool:
+    def count(n: int) -> None:
         nonlocal files, size
         files, size = files + 1, size + n
-        return files <= most_files and size <= most_bytes
+        if files > most_files:
+            raise ValueError(f"an archive of more than {most_files} files")
+        if size > most_bytes:
+            raise ValueError(f"an archive of more than {most_bytes} bytes unpacked")
 
     if zipfile.is_zipfile(io.BytesIO(data)):
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             for info in z.infolist():
                 if not info.is_dir() and _safe(info.filename) and info.external_attr >> 28 != 0xA:
-                    if not ok(info.file_size):
-                        return
+                    count(info.file_size)
                     yield info.filename, z.read(info)
         return
     try:
         with tarfile.open(fileobj=io.BytesIO(data)) as t:
             for info in t:
                 if info.isfile() and _safe(info.name):
-                    if not ok(info.size):
-                        return
+                    count(info.size)
                     yield info.name, t.extractfile(info).read()
         return
     except tarfile.TarError:
@@ -82,8 +87,8 @@ def members(name: str, data: bytes, most_files: int = MAX_MEMBERS, most_bytes: i
     for suffix, reader in ((".gz", gzip.decompress), (".bz2", bz2.decompress), (".xz", lzma.decompress)):
         if name.endswith(suffix):
             out = reader(data)
-            if ok(len(out)):
-                yield name.rsplit("/", 1)[-1].removesuffix(suffix), out
+            count(len(out))
+            yield name.rsplit("/", 1)[-1].removesuffix(suffix), out
 
 
 def expand_archives(files: DataFrame) -> DataFrame:
