@@ -1,8 +1,8 @@
 """URL filters by a temporal list join; DataFrame functions only.
 
 List entries (kind, pattern, category, action add or remove, listed_at) become validity intervals: an entry holds until the
-next one of the same pattern and category. A capture's URL gives a few keys (the URL itself, its host, its parent domains of
-two and three labels, its host with the first path segment); an as-of join finds the intervals that hold at its fetch time.
+next one of the same pattern and category. A capture's URL gives its keys (the URL itself, its host, its domains of every
+number of labels, its host with every prefix of path segments); an as-of join finds the intervals that hold at its fetch time.
 
 Captures are aggregated by (id, url, time) first. Only the two sides' keys are joined, by equality and interval, so that a hot
 host is split by adaptive execution; Spark broadcasts the intervals only where their measured size is under its threshold.
@@ -30,12 +30,12 @@ def url_keys(url: Column) -> Column:
     usual = (port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
     whole = F.concat(scheme, F.lit("://"), host, F.when(usual, F.lit("")).otherwise(F.concat(F.lit(":"), port)), path, query)
     key = lambda kind, x: F.struct(F.lit(kind).alias("kind"), x.alias("pattern"))
-    labels = F.size(F.split(host, r"\."))
-    keys = F.array(
-        key("url", whole), key("host", host), key("domain", F.when(labels >= 2, F.substring_index(host, ".", -2))), key("domain", F.when(labels >= 3, F.substring_index(host, ".", -3))),
-        key("path", F.concat(host, F.lit("/"), F.nullif(F.regexp_extract(path, "^/([^/]+)", 1), F.lit("")))),
-    )
-    return F.when(host != "", F.array_distinct(F.filter(keys, lambda k: k["pattern"].isNotNull())))
+    labels, segments = F.split(host, r"\."), F.split(F.when(path.startswith("/"), F.substr(path, F.lit(2))), "/")
+    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: key("domain", F.array_join(F.slice(labels, -i, i), ".")))
+    named = F.filter(F.sequence(F.lit(1), F.size(segments)), lambda i: F.element_at(segments, i) != "")
+    paths = F.transform(named, lambda i: key("path", F.concat(host, F.lit("/"), F.array_join(F.slice(segments, 1, i), "/"))))
+    keys = F.concat(F.array(key("url", whole), key("host", host)), domains, F.coalesce(paths, F.array().cast("array<struct<kind:string,pattern:string>>")))
+    return F.when(host != "", F.array_distinct(F.filter(keys, lambda k: k["pattern"] != "")))
 
 
 def validity(entries: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ def dated_captures(pages: DataFrame) -> DataFrame:
 
 
 def dated_entries(pages: DataFrame) -> DataFrame:
-    """A list for the query: every host, its domain and its language paths are listed, dropped and listed again on days that follow from a hash."""
+    """A list for the query: three in ten of the hosts, their domains of three labels and their first path segments, by a hash, are listed, dropped and listed again on days that follow from it."""
     host = F.lower(F.regexp_extract("url", URL, 2))
     names = pages.select(host.alias("host"), F.regexp_extract(F.regexp_extract("url", URL, 4), "^/([^/]+)", 1).alias("top")).distinct().where("host != ''")
     patterns = names.select(F.explode(F.array(
