@@ -8,10 +8,10 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusloom.operators.search import CJK as _CJK
+from corpusloom.operators.search import EMOJI as _EMOJI
 from corpusloom.operators.search import Query
 
-_CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ"
-_EMOJI = "☀-➿\U0001f300-\U0001faff"
 _TOKEN = re.compile(rf"[{_CJK}]+|[{_EMOJI}]|[^\W_{_CJK}{_EMOJI}]+")
 _CJK_RUN = re.compile(rf"[{_CJK}]+")
 MAX_TOKEN, MAX_QUERY = 100, 4096

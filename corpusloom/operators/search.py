@@ -18,10 +18,18 @@ MAX_LIMIT = 1000
 #: Boosts of the searched fields.
 BOOSTS = {"body": 1.0, "title": 3.0, "section": 2.0, "tags": 2.0, "llm_summary": 1.5, "llm_tags": 1.5}
 WORD = r"[\p{L}\p{N}]+"
+CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ"
+EMOJI = "☀-➿\U0001f300-\U0001faff"
+TOKEN = rf"[{CJK}]+|[{EMOJI}]|[\p{{L}}\p{{N}}&&[^{CJK}{EMOJI}]]+"
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    """Words; Han and kana runs as overlapping pairs; each emoji alone: analyze.tokenize() of the lower-cased text, natively. Without Han, kana and emoji these are the runs of WORD."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    runs = F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0))
+    pairs = lambda r: F.transform(F.sequence(F.lit(1), F.char_length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))
+    split = F.flatten(F.transform(runs, lambda r: F.when(r.rlike(f"^[{CJK}]{{2}}"), pairs(r)).otherwise(F.array(r))))
+    return F.when(low.rlike(f"[{CJK}]{{2}}"), split).otherwise(runs)
 
 
 def _follows(words: Column, phrase: list[str]) -> Column:
@@ -87,10 +95,10 @@ def order(sort: str = "score", reverse: bool = False) -> list[Column]:
     return [F.col(c).asc_nulls_first() if up != reverse else F.col(c).desc_nulls_last() for c, up in keys]
 
 
-def search(chunks: DataFrame, query: Query, *, equal: dict[str, str] | None = None, source: str | None = None, max_per_source: int | None = None, sort: str = "score", reverse: bool = False, limit: int = 10, offset: int = 0, boosts: dict[str, float] | None = None) -> DataFrame:
+def search(chunks: DataFrame, query: Query, *, equal: dict[str, str] | None = None, source: str | None = None, max_per_source: int | None = None, sort: str = "score", reverse: bool = False, limit: int = 10, offset: int = 0, boosts: dict[str, float] | None = None, analyze=tokens) -> DataFrame:
     """A page of hits with rank (0-based, by page) and total. Filters of equality bind before the pool; the source substring, the cap, other sorts and reversal work on the POOL best by score; total counts before them."""
     limit = min(limit, MAX_LIMIT)
-    hits = score(chunks, query, boosts)
+    hits = score(chunks, query, boosts, analyze=analyze)
     for name, value in (equal or {}).items():
         hits = hits.where(F.col(name) == value)
     if limit <= 0:
@@ -112,16 +120,16 @@ def search(chunks: DataFrame, query: Query, *, equal: dict[str, str] | None = No
     return ranked.crossJoin(F.broadcast(total))
 
 
-def match_total(chunks: DataFrame, query: Query, equal: dict[str, str] | None = None) -> DataFrame:
-    hits = score(chunks, query)
+def match_total(chunks: DataFrame, query: Query, equal: dict[str, str] | None = None, analyze=tokens) -> DataFrame:
+    hits = score(chunks, query, analyze=analyze)
     for name, value in (equal or {}).items():
         hits = hits.where(F.col(name) == value)
     return hits.agg(F.count(F.lit(1)).alias("total"))
 
 
-def build_postings(chunks: DataFrame, fields: tuple[str, ...] = ("body", "title")) -> DataFrame:
+def build_postings(chunks: DataFrame, fields: tuple[str, ...] = ("body", "title"), analyze=tokens) -> DataFrame:
     """(field, term, source_id, chunk_index, tf, positions): write it partitioned by field and sorted by term, so that a query's terms prune row groups."""
-    parts = [chunks.select(F.lit(f).alias("field"), "source_id", "chunk_index", F.posexplode(tokens(F.col(f))).alias("position", "term")) for f in fields]
+    parts = [chunks.select(F.lit(f).alias("field"), "source_id", "chunk_index", F.posexplode(analyze(F.col(f))).alias("position", "term")) for f in fields]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
@@ -132,8 +140,8 @@ def write_postings(postings: DataFrame, path: str) -> None:
     postings.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").partitionBy("field").parquet(path)
 
 
-def field_stats(chunks: DataFrame, fields: tuple[str, ...] = ("body", "title")) -> DataFrame:
-    sizes = chunks.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.size(tokens(F.col(f))).alias("len")) for f in fields])).alias("x")).select("x.*")
+def field_stats(chunks: DataFrame, fields: tuple[str, ...] = ("body", "title"), analyze=tokens) -> DataFrame:
+    sizes = chunks.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.size(analyze(F.col(f))).alias("len")) for f in fields])).alias("x")).select("x.*")
     return sizes.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("len"), 6).alias("avg_len"))
 
 
