@@ -5,8 +5,8 @@ k(x, y) = |grams(x) & grams(y)| / sqrt(|grams(x)| |grams(y)|). Nyström landmark
 kernel ridge regression is solved on them. The landmarks' presence matrix times the solution is one (grams x languages)
 matrix, so a batch is scored by one product of its presence matrix with that matrix.
 
-The fit takes a bounded sample: about PER_LANGUAGE rows of each language, chosen by a hash of the id, of at most
-MAX_LANGUAGES languages (those with the most rows). The sample's grams, not texts, come to the driver.
+The fit learns every language there is, from a bounded sample of about PER_LANGUAGE rows of each, chosen by a hash of the id.
+The sample's grams, not texts, come to the driver. Landmarks are LANDMARKS, or LEAST_LANDMARKS a language where that is more.
 
 Defined results: a null text or one without a letter is `und` with score 0; equal texts score equally; with nothing to learn
 from, every text is `und`; an empty table gives an empty result; other columns are not read.
@@ -15,16 +15,17 @@ from, every text is `und`; an empty table gives an empty result; other columns a
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import id_and_text, is_held_out, map_batches, prepare
 
-PER_LANGUAGE, MAX_LANGUAGES, LANDMARKS = 300, 100, 256
+PER_LANGUAGE, LANDMARKS, LEAST_LANDMARKS = 300, 256, 4
 RIDGE, SHARPNESS = 1e-3, 6.0
 TRIGRAM_BITS = 17
 SIZE = 256 + 65536 + (1 << TRIGRAM_BITS)
@@ -76,8 +77,10 @@ def solve(rows: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS) -> Mod
     languages = sorted({lang for lang, _ in rows})
     if not languages:
         return Model([], np.zeros((0, 0), np.float32))
-    by = {lang: [r for l, r in rows if l == lang] for lang in languages}
-    each = max(1, landmarks // len(languages))
+    by = defaultdict(list)
+    for lang, r in rows:
+        by[lang].append(r)
+    each = max(LEAST_LANDMARKS, landmarks // len(languages))
     marks = [r for lang in languages for r in by[lang][:each]]
     used = np.unique(np.concatenate(marks))
     presence = np.zeros((len(used), len(marks)), np.float32)
@@ -89,14 +92,19 @@ def solve(rows: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS) -> Mod
         at = at[(at < len(used)) & (used[np.minimum(at, len(used) - 1)] == r)]
         return presence[at].sum(0) / np.sqrt(len(r))
 
-    k_nm = np.array([kernel(r) for _, r in rows], np.float64)
     values, vectors = np.linalg.eigh((presence.T @ presence).astype(np.float64))
     good = values > 1e-8 * values.max()
     half = vectors[:, good] / np.sqrt(values[good])
-    phi = k_nm @ half
-    y = np.array([[1.0 if lang == l else -1.0 for l in languages] for lang, _ in rows])
-    w = 1 / np.array([len(by[lang]) for lang, _ in rows])[:, None] / len(languages)
-    solution = half @ np.linalg.solve(phi.T @ (w * phi) + RIDGE * np.eye(phi.shape[1]), phi.T @ (w * y))
+    # language by language, so that nothing has as many entries as rows times landmarks; a row's weight is one by the rows of its language and the languages
+    square, sums = RIDGE * np.eye(half.shape[1]), []
+    for lang in languages:
+        phi = np.array([kernel(r) for r in by[lang]], np.float64) @ half
+        w = 1 / len(phi) / len(languages)
+        square += w * (phi.T @ phi)
+        sums.append(w * phi.sum(0))
+    # targets are 1 for a row's language and -1 for the others
+    right = np.array(sums).T
+    solution = half @ np.linalg.solve(square, 2 * right - right.sum(1, keepdims=True))
     weights = np.zeros((SIZE, len(languages)), np.float32)
     weights[used] = presence @ solution
     return Model(languages, weights)
@@ -106,10 +114,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(~is_held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, max(1, min(1_000_000, 1_000_000 * per_language // n))).otherwise(share)
+    share = F.greatest(F.lit(1), F.least(F.lit(1_000_000), F.floor(1_000_000 * per_language / F.count(F.lit(1)))))
+    shares = rows.groupBy("lang").agg(share.alias("share"))
 
     def run(batches):
         seen = np.zeros(SIZE, np.uint8)
@@ -117,8 +123,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             found = [grams(t, seen) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([f.astype("<i4").tobytes() for f in found], pa.binary())], names=["doc_id", "lang", "grams"])
 
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).limit(2 * per_language * max(1, len(counts)))
-    found = sample.mapInArrow(run, "doc_id long, lang string, grams binary").collect()
+    sample = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share")).select("doc_id", "text", "lang")
+    # where ids are null or repeat, a hash of them bounds nothing
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "grams"))
+    found = sample.mapInArrow(run, "doc_id long, lang string, grams binary").withColumn("place", place).where(F.col("place") <= 2 * per_language).collect()
     return solve([(r.lang, np.frombuffer(r.grams, "<i4")) for r in sorted(found, key=lambda r: (r.lang, r.doc_id, bytes(r.grams)))])
 
 
