@@ -1,7 +1,8 @@
 """Personal data by weak supervision.
 
 find_base() gives the fixed spans (e-mail, IP, card, phone). Further candidates come from looser patterns: e-mails spelled
-out, phone numbers without a plus, and cards or phone numbers whose form fails. Three labelers vote on each candidate:
+out, 3-3-4 phone numbers without a plus, and cards whose form fails. Of these only spelled e-mails and 3-3-4 phones can be
+added, as decide() wants a vote for from the form, and a failed card has one against. Three labelers vote on each candidate:
 its form (regex), a gazetteer (top-level domains, dialling prefixes, card issuers) and its context (words before it).
 A pass counts candidates by kind and votes; the counts are few, whatever the corpus. Expectation-maximisation over them
 estimates each labeler's reliability without labels; a logistic classifier of candidates, fitted to the posteriors, decides
