@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +16,10 @@ from corpusloom.operators import federation as FED
 from corpusloom.operators import incremental as I
 from corpusloom.operators import lists as L
 from corpusloom.operators import search as S
+from corpusloom.operators.index import SearchIndex, open_or_build
 from corpusloom.plans import corpus as C
 from corpusloom.sources import readers as R
+from corpusloom.storage import Files, fresh_folder, shared_folder
 
 QUERIES, ORACLES = {}, {}
 BODY, BOTH = {"body": 1.0}, {"body": 1.0, "title": 3.0}
@@ -42,92 +44,110 @@ def both_stores(rows: DataFrame) -> DataFrame:
     return rows.withColumn("store", F.when(F.col("doc_id") % 2 == 0, "a").otherwise("b"))
 
 
+def index(spark: SparkSession, d: str, name: str = "words", where: str = "true", **options) -> SearchIndex:
+    """The stored index of the chunks. It is written once under the shared folder and opened by every later search of the same files."""
+    key = hashlib.sha256(f"{d} {Files(spark, f'{d}/documents.parquet').stamp()} {name}".encode()).hexdigest()[:16]
+    return open_or_build(spark, f"{shared_folder(spark)}/corpusloom-index-{key}", lambda: C.chunks(spark, d).where(where), **options)
+
+
+def phrases(spark: SparkSession, d: str) -> SearchIndex:
+    return index(spark, d, "phrases", fields=("body",), positions=True)
+
+
+def stemmed(spark: SparkSession, d: str) -> SearchIndex:
+    return index(spark, d, "english", fields=("body",), analyze=A.analyzed("english"), analyzer="english")
+
+
+def stores(spark: SparkSession, d: str) -> dict[str, SearchIndex]:
+    """Two stores with statistics of their own."""
+    return {name: index(spark, d, f"store {name}", f"doc_id % 2 = {k}", fields=("body",)) for k, name in enumerate("ab")}
+
+
+PAGE = {"total": False, "body": False}
 T1 = ["the", "house", "thre"]
 T2 = ["the", "erer"]
 
 
 @query(S.bm25_sql(T1, BODY) + "SELECT source, chunk_index, score FROM scored ORDER BY score DESC, source, chunk_index LIMIT 10")
 def search_bm25_body(spark, d):
-    return hits(S.search(C.chunks(spark, d), S.Query(T1), boosts=BODY))
+    return hits(index(spark, d).search(S.Query(T1), boosts=BODY, **PAGE))
 
 
 @query(S.bm25_sql(T1, BOTH) + "SELECT source, chunk_index, score FROM scored ORDER BY score DESC, source, chunk_index LIMIT 20")
 def search_multifield(spark, d):
-    return hits(S.search(C.chunks(spark, d), S.Query(T1), limit=20, boosts=BOTH))
+    return hits(index(spark, d).search(S.Query(T1), limit=20, boosts=BOTH, **PAGE))
 
 
 @query(S.bm25_sql(T2, BOTH) + "SELECT source, chunk_index, score FROM scored WHERE topic = 'src3' AND lang = 'en' ORDER BY score DESC, source, chunk_index LIMIT 10")
 def search_filter_topic(spark, d):
-    return hits(S.search(C.chunks(spark, d), S.Query(T2), equal={"topic": "src3", "lang": "en"}, boosts=BOTH))
+    return hits(index(spark, d).search(S.Query(T2), equal={"topic": "src3", "lang": "en"}, boosts=BOTH, **PAGE))
 
 
 @query(S.bm25_sql(T2, BODY) + "SELECT source, chunk_index, score FROM (SELECT * FROM scored ORDER BY score DESC, source, chunk_index LIMIT 1000) WHERE contains(source, '7') ORDER BY score DESC, source, chunk_index LIMIT 15")
 def search_filter_source_pool(spark, d):
-    return hits(S.search(C.chunks(spark, d), S.Query(T2), source="7", limit=15, boosts=BODY))
+    return hits(index(spark, d).search(S.Query(T2), source="7", limit=15, boosts=BODY, **PAGE))
 
 
 @query(S.bm25_sql(T2, BODY) + "SELECT source, chunk_index, score FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, source, chunk_index) AS r FROM scored) WHERE r <= 2 ORDER BY score DESC, source, chunk_index LIMIT 25")
 def search_max_per_source(spark, d):
-    return hits(S.search(C.chunks(spark, d), S.Query(T2), max_per_source=2, limit=25, boosts=BODY))
+    return hits(index(spark, d).search(S.Query(T2), max_per_source=2, limit=25, boosts=BODY, **PAGE))
 
 
 @query(S.bm25_sql(T2, BODY) + "SELECT source, chunk_index, score, row_number() OVER (ORDER BY source, chunk_index) - 1 AS rank FROM (SELECT * FROM scored ORDER BY score DESC, source, chunk_index LIMIT 1000) ORDER BY source, chunk_index LIMIT 20")
 def search_sort_source(spark, d):
-    return hits(S.search(C.chunks(spark, d), S.Query(T2), sort="source", limit=20, boosts=BODY), "rank")
+    return hits(index(spark, d).search(S.Query(T2), sort="source", limit=20, boosts=BODY, **PAGE), "rank")
 
 
 @query(S.bm25_sql(T2, BODY) + "SELECT source, chunk_index, score, topic FROM (SELECT * FROM scored ORDER BY score DESC, source, chunk_index LIMIT 1000) ORDER BY topic DESC NULLS LAST, source DESC, chunk_index DESC LIMIT 20")
 def search_sort_topic_reverse(spark, d):
-    return hits(S.search(C.chunks(spark, d), S.Query(T2), sort="topic", reverse=True, limit=20, boosts=BODY), "topic")
+    return hits(index(spark, d).search(S.Query(T2), sort="topic", reverse=True, limit=20, boosts=BODY, **PAGE), "topic")
 
 
 @query(S.bm25_sql(T2, BODY) + "SELECT source, chunk_index, score, row_number() OVER (ORDER BY score DESC, source, chunk_index) - 1 AS rank, (SELECT count(*) FROM scored) AS total FROM scored ORDER BY score DESC, source, chunk_index LIMIT 10 OFFSET 10")
 def search_offset(spark, d):
-    return hits(S.search(C.chunks(spark, d), S.Query(T2), offset=10, boosts=BODY), "rank", "total")
+    return hits(index(spark, d).search(S.Query(T2), offset=10, boosts=BODY, body=False), "rank", "total")
 
 
 @query(S.bm25_sql(T2, BOTH) + "SELECT count(*) AS total FROM scored WHERE lang = 'en'")
 def search_total(spark, d):
-    return S.match_total(C.chunks(spark, d), S.Query(T2), {"lang": "en"})
+    return index(spark, d).total(S.Query(T2), BOTH, {"lang": "en"})
 
 
 @query(S.bm25_sql(T2, BODY, where="AND list_contains(w_body, 'the') AND list_contains(w_body, 'erer')") + "SELECT source, chunk_index, score FROM scored ORDER BY score DESC, source, chunk_index LIMIT 20")
 def search_and(spark, d):
-    return hits(S.search(C.chunks(spark, d), A.parse("the AND erer"), limit=20, boosts=BODY))
+    return hits(index(spark, d).search(A.parse("the AND erer"), limit=20, boosts=BODY, **PAGE))
 
 
 @query(S.bm25_sql(["erer"], BODY, where="AND NOT list_contains(w_body, 'the')") + "SELECT source, chunk_index, score FROM scored ORDER BY score DESC, source, chunk_index LIMIT 20")
 def search_not(spark, d):
-    return hits(S.search(C.chunks(spark, d), A.parse("erer NOT the"), limit=20, boosts=BODY))
+    return hits(index(spark, d).search(A.parse("erer NOT the"), limit=20, boosts=BODY, **PAGE))
 
 
 @query(S.bm25_sql(["of", "the"], BODY, where="AND contains(' ' || array_to_string(w_body, ' ') || ' ', ' of the ')") + "SELECT source, chunk_index, score FROM scored ORDER BY score DESC, source, chunk_index LIMIT 20")
 def search_phrase(spark, d):
-    return hits(S.search(C.chunks(spark, d), A.parse('"of the"'), limit=20, boosts=BODY))
+    return hits(phrases(spark, d).search(A.parse('"of the"'), limit=20, boosts=BODY, **PAGE))
 
 
 @query()
 def search_stemmed(spark, d):
     q = A.parse("thing edges", "english", A.stop_words("english"))
-    rows = S.score(C.chunks(spark, d), q, BODY, analyze=A.analyzed("english"))
-    return hits(rows.orderBy(*S.order()).limit(20))
+    return hits(stemmed(spark, d).search(q, limit=20, boosts=BODY, **PAGE))
 
 
 @query()
 def search_snippets(spark, d):
-    page = S.search(C.chunks(spark, d), S.Query(T1), limit=10, boosts=BODY)
+    page = index(spark, d).search(S.Query(T1), limit=10, boosts=BODY, total=False)
     return page.select(*HIT, A.snippets(F.col("body"), T1).alias("snippet"))
 
 
 @query(", t AS (SELECT source_id, chunk_index, unnest(regexp_extract_all(lower(body), '[\\p{L}\\p{N}]+')) AS term FROM chunks_v) SELECT term, count(DISTINCT source_id || ':' || chunk_index) AS df, count(*) AS cf FROM t GROUP BY term")
 def postings_terms(spark, d):
-    p = S.build_postings(C.chunks(spark, d), ("body",))
-    return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    return index(spark, d).terms.where("field = 'body'").select("term", "df", "cf")
 
 
 @query(", x AS (SELECT len(regexp_extract_all(lower(body), '[\\p{L}\\p{N}]+')) AS b, len(regexp_extract_all(lower(title), '[\\p{L}\\p{N}]+')) AS t FROM chunks_v) SELECT 'body' AS field, count(*) AS n, round(avg(b), 6) AS avg_len FROM x UNION ALL SELECT 'title', count(*), round(avg(t), 6) FROM x")
 def index_field_stats(spark, d):
-    return S.field_stats(C.chunks(spark, d))
+    return index(spark, d).field_stats()
 
 
 @query("SELECT source, topic, lang, word_count FROM docs_v WHERE lower(lang) = 'en' AND lower(topic) = 'src1' AND contains(lower(title), 'the') ORDER BY source LIMIT 500")
@@ -217,7 +237,7 @@ def document_rollup(spark, d):
 
 @query(", s AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'a' ELSE 'b' END AS store FROM chunks_v)" + S.bm25_sql(T2, BODY, "s", by="store") + ", r AS (SELECT *, row_number() OVER (PARTITION BY store ORDER BY score DESC, source, chunk_index) AS r FROM scored), z AS (SELECT *, round(CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 6) AS norm FROM r WHERE r <= 20 WINDOW w AS (PARTITION BY store)) SELECT store, source, chunk_index, norm FROM z ORDER BY norm DESC, source, chunk_index LIMIT 20")
 def fed_search_normalized(spark, d):
-    return FED.normalized_search(both_stores(C.chunks(spark, d)), S.Query(T2), boosts=BODY).select("store", "source", "chunk_index", "norm")
+    return FED.search_stores(stores(spark, d), S.Query(T2), boosts=BODY).select("store", "source", "chunk_index", "norm")
 
 
 @query("SELECT topic, count(*) AS doc_count, sum(chunk_count) AS chunk_count, sum(word_count) AS word_count FROM docs_v WHERE topic IS NOT NULL GROUP BY topic")
@@ -228,7 +248,8 @@ def fed_topics(spark, d):
 
 @query("SELECT CASE WHEN doc_id % 2 = 0 THEN 'a' ELSE 'b' END AS store, source FROM docs_v ORDER BY word_count DESC, source LIMIT 40")
 def fed_docs(spark, d):
-    return both_stores(C.docs(spark, d)).orderBy(*L.doc_order("words")).limit(40).select("store", "source")
+    docs = C.docs(spark, d)
+    return FED.union_docs({"a": docs.where("doc_id % 2 = 0"), "b": docs.where("doc_id % 2 <> 0")}, L.doc_order("words"), 40).select("store", "source")
 
 
 @query("SELECT count(*) AS docs, sum(chunk_count) AS chunks, sum(word_count) AS words, round(sum(word_count) / sum(chunk_count), 1) AS words_per_chunk FROM docs_v")
@@ -404,8 +425,7 @@ def watch_ingest(spark, d):
     from corpusloom.operators.incremental import VersionedTable
     from corpusloom.streaming.watch import watch
 
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    folder = f"{shared}/watch-{spark.sparkContext.applicationId}-{id(object())}" if shared else tempfile.mkdtemp(prefix="corpusloom-watch-")
+    folder = fresh_folder(spark, "watch")
     docs = C.read(spark, d, "documents")
     docs.write.parquet(f"{folder}/in")
     table = VersionedTable(spark, f"{folder}/table")
