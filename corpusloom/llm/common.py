@@ -2,30 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.storage import shared_folder  # noqa: F401  also for the operators
+
 #: Rows, and bytes, in an Arrow batch.
 BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Small Arrow batches (a row goes whole, so one of a very long text may be over the bytes), and a checkpoint folder: the cluster's own, or a temporary one where none is set."""
+    """Small Arrow batches (a row goes whole, so one of a very long text may be over the bytes), and a checkpoint folder: the cluster's own. Where none is set, a temporary one in a single process, and an error on a cluster."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    sc = spark.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-checkpoint-"))
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: the checkpoint folder of this application."""
-    prepare(spark)
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    shared_folder(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpusloom.operators.search import B, BOOSTS, K1, MAX_LIMIT, POOL, Query, tokens
 from corpusloom.storage import Files
@@ -73,6 +74,12 @@ def count_words(rows: DataFrame, fields: list[str], positions: bool) -> DataFram
     return rows.mapInArrow(run, "field string, term string, did long, chunk_index long, tf int, len int" + ", positions array<int>" * positions)
 
 
+def _stored(rows: DataFrame, path: str, by: str) -> DataFrame:
+    """rows, written in folders by a column and read again; of their schema also where there are none."""
+    rows.write.partitionBy(by).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def build_index(chunks: DataFrame, path: str, fields: tuple[str, ...] = ("body", "title"), analyze=tokens, analyzer: str = "none", positions: bool = False, by: tuple[str, ...] = ()) -> None:
     """Writes the index of chunks (source, chunk_index and the fields; other columns are kept) under path, which must be new. by: further document columns, as a document's first chunk has them."""
     spark, files = chunks.sparkSession, Files(chunks.sparkSession, path)
@@ -82,22 +89,21 @@ def build_index(chunks: DataFrame, path: str, fields: tuple[str, ...] = ("body",
     ordered = chunks.withColumn("chunk_index", F.col("chunk_index").cast("long")).repartitionByRange("source").sortWithinPartitions("source", "chunk_index").withColumn("rid", F.monotonically_increasing_id())
     of_source = Window.partitionBy("source")
     numbered = ordered.withColumns({"did": F.min("rid").over(of_source), "chunk_total": F.count(F.lit(1)).over(of_source), "part": F.shiftright("rid", PART_BITS).cast("int")})
-    numbered.write.partitionBy("part").parquet(f"{path}/chunks")
-    rows = spark.read.parquet(f"{path}/chunks")
+    rows = _stored(numbered, f"{path}/chunks", "part")
     attrs = [c for c in (*FILTERS, *by) if c in chunks.columns]
-    rows.where("rid = did").select("part", "did", "source", "chunk_total", *attrs).write.partitionBy("part").parquet(f"{path}/docs")
-    size, n, least = rows.agg(sum((F.sum(F.coalesce(F.octet_length(f), F.lit(0)).cast("long")) for f in fields), F.lit(0)), F.count(F.lit(1)), F.min("did")).first()
+    docs = _stored(rows.where("rid = did").select("part", "did", "source", "chunk_total", *attrs), f"{path}/docs", "part")
+    size, n = rows.agg(sum((F.sum(F.coalesce(F.octet_length(f), F.lit(0)).cast("long")) for f in fields), F.lit(0)), F.count(F.lit(1))).first()
     buckets = 1 << max(LEAST_BUCKETS, min(MOST_BUCKETS, (size or 0) // BUCKET_BYTES)).bit_length() - 1
     words = rows.select("did", "chunk_index", *[analyze(F.col(f)).alias(f"w_{f}") for f in fields])
     postings = count_words(words, list(fields), positions).withColumn("bucket", bucket_of(F.col("term"), buckets))
     # a bucket's postings are dealt by ranges of documents, so that a term that every chunk has is in many files
     order = ["bucket", "field", "term", "did", "chunk_index"]
-    postings.repartition("bucket", F.shiftright("did", PART_BITS)).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{path}/postings")
-    stored = spark.read.parquet(f"{path}/postings")
-    terms = stored.groupBy("bucket", "field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-    terms.repartition("bucket").sortWithinPartitions("bucket", "field", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
-    lengths = spark.read.parquet(f"{path}/terms").groupBy("field").agg(F.sum("cf").alias("total")).collect()
-    files.create("index.json", json.dumps({"format": FORMAT, "analyzer": analyzer, "buckets": buckets, "n": n, "total": {f: 0 for f in fields} | {r.field: r.total for r in lengths}, "positions": positions}))
+    stored = _stored(postings.repartition("bucket", F.shiftright("did", PART_BITS)).sortWithinPartitions(*order), f"{path}/postings", "bucket")
+    counts = stored.groupBy("bucket", "field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    terms = _stored(counts.repartition("bucket").sortWithinPartitions("bucket", "field", "term"), f"{path}/terms", "bucket")
+    lengths = terms.groupBy("field").agg(F.sum("cf").alias("total")).collect()
+    schemas = {"chunks": rows, "docs": docs, "postings": stored, "terms": terms}
+    files.create("index.json", json.dumps({"format": FORMAT, "analyzer": analyzer, "buckets": buckets, "n": n, "total": {f: 0 for f in fields} | {r.field: r.total for r in lengths}, "positions": positions, "schemas": {k: t.schema.jsonValue() for k, t in schemas.items()}}))
 
 
 class SearchIndex:
@@ -109,7 +115,7 @@ class SearchIndex:
         if self.meta["format"] != FORMAT or analyzer not in (None, self.meta["analyzer"]):
             raise IndexOutdated(f"format {self.meta['format']}, analyzer {self.meta['analyzer']}")
         self.fields = list(self.meta["total"])
-        self.docs, self.chunks, self.postings, self.terms = (spark.read.parquet(f"{path}/{t}") for t in ("docs", "chunks", "postings", "terms"))
+        self.docs, self.chunks, self.postings, self.terms = (spark.read.schema(StructType.fromJson(self.meta["schemas"][t])).parquet(f"{path}/{t}") for t in ("docs", "chunks", "postings", "terms"))
         self._df: dict[str, dict[str, int]] = {}
         self._bucket: dict[str, int] = {}
 
