@@ -2,14 +2,15 @@
 
 1. Anchors. Of every LENGTH-byte window the K-gram with the least hash (the leftmost of equal ones) is its anchor; equal windows
    have equal anchors at equal places. Anchor hashes are counted over all documents (blocks of a task's rows send each hash once).
-2. Segments. The bytes of the windows of each anchor that occurs again go to the anchor's unit. Equal segments of a block are
-   one row. An anchor with more than UNIT occurrences is dealt over several units.
+2. Segments. The bytes of the windows of each anchor that occurs again go to the anchor's unit. Of equal segments of a block one
+   question goes there; where a block has several they repeat, and are marked at home. So a unit meets a segment once a block,
+   and keeps one place of it. An anchor with more than UNIT occurrences is dealt over several units.
 3. In a unit the suffixes at the anchors are sorted: an enhanced suffix array, whose LCP array a stack scan turns into the tree of
    common-prefix intervals, from the longest prefixes up. Where intervals merge, members are looked up among the others by their
    left contexts: those that differ to the left end a maximal repeat there, with the common left context and the interval's
    prefix as its extent. Every occurrence in the interval is met, not only neighbours in the array, and members of the larger part
    are only compared where one of the smaller part lies next to them in left order, as others are covered by longer repeats.
-4. Windows of anchors that were dealt over several units meet once more by their 128-bit hashes, one row of a unit and window.
+4. Windows of anchors that were dealt over several units meet once more by their 128-bit hashes, counted before they are joined.
 5. Marks are gathered by document, and the bytes left are joined.
 
 Strings are compared as bytes within units. Defined results: a null text equals an empty one; texts under LENGTH bytes keep all; rows that
@@ -20,12 +21,13 @@ documents; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import map_batches, prepare, text_or_empty
@@ -35,7 +37,8 @@ LENGTH, K = 200, 32
 REACH = LENGTH - K
 UNIT = 20_000
 SPREAD = 64
-BLOCK_ANCHORS, BLOCK_SEGMENTS = 200_000, 20_000
+#: A block ends at so many anchors, documents, different segments or places of segments.
+BLOCK_ANCHORS, BLOCK_ROWS, BLOCK_SEGMENTS, BLOCK_PLACES = 200_000, 50_000, 20_000, 400_000
 TEXT_BLOCK = 1 << 19
 
 
@@ -128,7 +131,7 @@ def anchored_repeats(lefts: list[bytes], rights: list[bytes], least: int = LENGT
 
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
-    """By document: key, bytes, and of its anchors those that stand for their block (hash, packed place), and those that the block has several times."""
+    """(key, key2, text) to, by document, its bytes, its anchors that stand for their block (hash, packed place, whether the block has no other), and all that the block has several times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sizes, places, hashes, count = [], [], [], [], 0
@@ -148,98 +151,125 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
                 return pa.ListArray.from_arrays(pa.array(ends), pa.array(values[at], kind))
 
             out = pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), lists(own, h, pa.int64()), lists(own, place, pa.int64()), lists(n > 1, place, pa.int64()), lists(n > 1, h, pa.int64())], names=["key", "size", "h", "place", "again", "again_h"])
+                [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(sizes, pa.int64()), lists(own, h, pa.int64()), lists(own, place, pa.int64()), lists(own, n == 1, pa.bool_()), lists(n > 1, place, pa.int64()), lists(n > 1, h, pa.int64())],
+                names=["key", "key2", "size", "h", "place", "alone", "again", "again_h"],
+            )
             keys, sizes, places, hashes, count = [], [], [], [], 0
             return out
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for key, key2, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
                 p, h, first, last = anchors(raw)
-                keys.append(key)
+                keys.append((key, key2))
                 sizes.append(len(raw))
                 places.append(pack_place(p, first, last))
                 hashes.append(h)
                 count += len(p)
-                if count >= BLOCK_ANCHORS:
+                if count >= BLOCK_ANCHORS or len(keys) >= BLOCK_ROWS:
                     yield flush()
         if keys:
             yield flush()
 
-    return docs.mapInArrow(run, "key long, size long, h array<long>, place array<long>, again array<long>, again_h array<long>")
+    return docs.mapInArrow(run, "key long, key2 long, size long, h array<long>, place array<long>, alone array<boolean>, again array<long>, again_h array<long>")
+
+
+_SEGMENTS = "h long, salt long, hot boolean, before long, segment binary, size long, n long, keys array<long>, keys2 array<long>, starts array<long>"
+_LONGS = pa.list_(pa.int64())
+_SEGMENT_KINDS = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), _LONGS, _LONGS, _LONGS)
 
 
 def _segments(rows: DataFrame) -> DataFrame:
-    """(doc_id, text, key, flagged) to segments: h, bytes before the anchor, segment, and key and start of every occurrence in the block."""
+    """(key, key2, text, flagged) to segments. Of equal segments of a block one question goes to the anchor's unit, with how many there
+    are and the first one's place. Where a block has several they repeat, whatever the unit finds: their places go as marks, dealt evenly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int, bytes, int], tuple[list[int], list[int]]] = {}
+        held: dict[tuple[int, int, bytes, int], list[tuple[int, int, int]]] = {}
+        count = 0
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.int64()), pa.array([k[1] for k in held], pa.int64()), pa.array([k[2] for k in held], pa.binary()), pa.array([k[3] for k in held], pa.int64()), pa.array([v[0] for v in held.values()], pa.list_(pa.int64())), pa.array([v[1] for v in held.values()], pa.list_(pa.int64()))], names=["h", "before", "segment", "units", "keys", "starts"])
+            nonlocal count
+            out = []
+            for (h, before, segment, units), places in held.items():
+                salt = zlib.crc32(segment) % units if units > 1 else 0
+                columns = tuple(map(list, zip(*places, strict=True)))
+                out.append((h, salt, units > 1, before, segment, len(segment), len(places), *(c[:1] for c in columns)))
+                if len(places) > 1:
+                    out.append((columns[0][0], -1 - columns[2][0] % 64, False, before, None, len(segment), len(places), *columns))
             held.clear()
-            return out
+            count = 0
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(_SEGMENT_KINDS)], names=[f.split()[0] for f in _SEGMENTS.split(", ")])
 
         for batch in batches:
-            for key, text, flagged in zip(*(batch.column(n).to_pylist() for n in ("key", "text", "flagged")), strict=True):
+            for key, key2, text, flagged in zip(*(batch.column(n).to_pylist() for n in ("key", "key2", "text", "flagged")), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
                 for x in flagged:
                     p = x["p"]
                     before = p >> 8 & 255
                     a = (p >> 16) - before
-                    keys, starts = held.setdefault((x["h"], before, raw[a : a + (p & 255) + LENGTH], x["k"]), ([], []))
-                    keys.append(key)
-                    starts.append(a)
-                if len(held) >= BLOCK_SEGMENTS:
+                    held.setdefault((x["h"], before, raw[a : a + (p & 255) + LENGTH], x["k"]), []).append((key, key2, a))
+                    count += 1
+                if len(held) >= BLOCK_SEGMENTS or count >= BLOCK_PLACES:
                     yield flush()
         yield flush()
 
-    return rows.mapInArrow(run, "h long, before long, segment binary, units long, keys array<long>, starts array<long>")
+    return rows.mapInArrow(run, _SEGMENTS)
+
+
+_MARKS = "key long, key2 long, a long, b long, x long, y long"
 
 
 def _marks(segments: DataFrame) -> DataFrame:
-    """Segments by unit to (key, a, b) ranges that repeat; of dealt-out units also window hashes (x, y), by key and a."""
+    """Segments by unit to (key, key2, a, b) ranges that repeat; of dealt-out units also window hashes (x, y), by key and a. A unit keeps one place of a segment, however many there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit: dict[tuple[int, bytes], set[tuple[int, int]]] = {}
+        unit: dict[tuple[int, bytes], list] = {}  # (before, segment): first place, and whether there are more
         at, spread, out = None, False, []
 
         def solve() -> None:
-            several = [len(seen) > 1 for seen in unit.values()]
-            for (_, segment), seen in unit.items():
-                if len(seen) > 1:
-                    out.extend((k, a, a + len(segment), None, None) for k, a in seen)
+            several = [seen[1] for seen in unit.values()]
             if len(unit) > 1 and not all(several):
                 found = anchored_repeats([s[:n][::-1] for n, s in unit], [s[n:] for n, s in unit])
                 for ((n, _), seen), whole, parts in zip(unit.items(), several, found, strict=True):
                     if parts and not whole:
-                        k, a = next(iter(seen))
-                        out.extend((k, a + n - left, a + n + right, None, None) for left, right in set(parts))
+                        k, k2, a = seen[0]
+                        out.extend((k, k2, a + n - left, a + n + right, None, None) for left, right in set(parts))
             if spread:
-                for (_, s), seen in unit.items():
-                    k, a = min(seen)
+                for (_, s), ((k, k2, a), _) in unit.items():
                     for o in range(len(s) - LENGTH + 1):
                         d = hashlib.blake2b(s[o : o + LENGTH], digest_size=16).digest()
-                        out.append((k, a + o, None, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
+                        out.append((k, k2, a + o, None, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
             unit.clear()
 
         for batch in batches:
-            for h, salt, before, segment, keys, starts, hot in zip(*(batch.column(n).to_pylist() for n in ("h", "salt", "before", "segment", "keys", "starts", "hot")), strict=True):
+            names = ("h", "salt", "hot", "before", "segment", "size", "n", "keys", "keys2", "starts")
+            for h, salt, hot, before, segment, size, n, keys, keys2, starts in zip(*(batch.column(x).to_pylist() for x in names), strict=True):
+                if segment is None:
+                    out.extend((k, k2, a, a + size, None, None) for k, k2, a in zip(keys, keys2, starts, strict=True))
+                    continue
                 if at != (h, salt):
                     solve()
                     at, spread = (h, salt), hot
-                unit.setdefault((before, segment), set()).update(zip(keys, starts, strict=True))
-            if len(out) >= 20_000:
-                yield _mark_batch(out)
-                out.clear()
+                place = keys[0], keys2[0], starts[0]
+                if (seen := unit.get((before, segment))) is None:
+                    unit[before, segment] = [place, n > 1]
+                else:  # met twice: the first place, and this one, repeat; several of a block were marked there
+                    if not seen[1]:
+                        out.append((*seen[0], seen[0][2] + size, None, None))
+                        seen[1] = True
+                    if n == 1:
+                        out.append((*place, place[2] + size, None, None))
+                if len(out) >= 20_000:
+                    yield _mark_batch(out)
+                    out.clear()
         solve()
         yield _mark_batch(out)
 
-    return segments.mapInArrow(run, "key long, a long, b long, x long, y long")
+    return segments.mapInArrow(run, _MARKS)
 
 
 def _mark_batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], names=["key", "a", "b", "x", "y"])
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(6)], names=[f.split()[0] for f in _MARKS.split(", ")])
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -253,14 +283,17 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def repeat_ranges(docs: DataFrame, unit: int = UNIT) -> tuple[DataFrame, DataFrame]:
-    """docs has doc_id and text. (doc_id, text, key) rows, and by key the ranges (array of a, b) that repeat."""
+    """docs has doc_id and text. (doc_id, text, key, key2) rows, and by key and key2, 128 bits of id and text, the ranges (array of a, b) that repeat."""
     prepare(docs.sparkSession)
-    texts = docs.select("doc_id", "text", F.xxhash64(F.coalesce("doc_id", F.lit(-1).cast("long")), F.col("doc_id").isNull(), "text").alias("key"))
-    found = _anchor_rows(texts.select("key", "text")).checkpoint()
-    one = found.select("key", F.explode(F.arrays_zip("h", "place")).alias("x")).select("key", F.col("x.h").alias("h"), F.col("x.place").alias("p"))
-    met_again = one.withColumn("blocks", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("blocks > 1").select("key", F.struct("p", "h").alias("f"))
-    again = found.select("key", F.explode(F.arrays_zip("again", "again_h")).alias("x")).select("key", F.struct(F.col("x.again").alias("p"), F.col("x.again_h").alias("h")).alias("f"))
-    flags = met_again.unionByName(again).distinct().checkpoint()
+    own = [F.coalesce("doc_id", F.lit(-1).cast("long")), F.col("doc_id").isNull(), F.col("text")]
+    texts = docs.select("doc_id", "text", F.xxhash64(*own).alias("key"), F.xxhash64(F.lit("second"), *own).alias("key2"))
+    found = _anchor_rows(texts.select("key", "key2", "text")).checkpoint()
+    one = found.select("key", "key2", F.explode(F.arrays_zip("h", "place", "alone")).alias("x")).select("key", "key2", F.col("x.h").alias("h"), F.col("x.place").alias("p"), F.col("x.alone").alias("alone"))
+    # partial counts first; the places themselves are joined, where a hot anchor's can be split
+    many = one.groupBy("h").agg(F.count(F.lit(1)).alias("blocks")).where("blocks > 1").select("h")
+    met_again = one.where("alone").join(many, "h", "left_semi").select("key", "key2", F.struct("p", "h").alias("f"))
+    again = found.select("key", "key2", F.explode(F.arrays_zip("again", "again_h")).alias("x")).select("key", "key2", F.struct(F.col("x.again").alias("p"), F.col("x.again_h").alias("h")).alias("f"))
+    flags = met_again.unionByName(again).checkpoint()
     hot = flags.groupBy("f.h").agg(F.count(F.lit(1)).alias("total")).where(F.col("total") > unit)
     # how many units an anchor is dealt over goes with its places, so that segments move once
     if any_hot := hot.limit(1).count() > 0:
@@ -268,21 +301,21 @@ def repeat_ranges(docs: DataFrame, unit: int = UNIT) -> tuple[DataFrame, DataFra
         part = F.pmod(F.xxhash64("key", "f.p"), F.lit(SPREAD)).cast("int")
         hot = hot.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
         flags = flags.withColumn("part", part)
-        flags = flags.join(hot, (F.col("f.h") == hot.h) & (flags.part == hot.part), "left").select("key", F.struct("f.p", "f.h", F.coalesce(F.ceil(F.col("total") / unit), F.lit(1)).cast("long").alias("k")).alias("f"))
+        flags = flags.join(hot, (F.col("f.h") == hot.h) & (flags.part == hot.part), "left").select("key", "key2", F.struct("f.p", "f.h", F.coalesce(F.ceil(F.col("total") / unit), F.lit(1)).cast("long").alias("k")).alias("f"))
     else:
-        flags = flags.select("key", F.struct("f.p", "f.h", F.lit(1).cast("long").alias("k")).alias("f"))
-    flagged = flags.groupBy("key").agg(F.collect_list("f").alias("flagged"))
-    segments = _segments(texts.join(flagged, "key").select("doc_id", "text", "key", "flagged"))
-    segments = segments.withColumn("salt", F.when(F.col("units") > 1, F.pmod(F.xxhash64("segment"), F.col("units"))).otherwise(0).cast("long")).withColumn("hot", F.col("units") > 1)
-    marks = _marks(segments.select("h", "salt", "before", "segment", "keys", "starts", "hot").repartition("h", "salt").sortWithinPartitions("h", "salt"))
-    ranges = marks.where("b is not null").select("key", "a", "b")
+        flags = flags.select("key", "key2", F.struct("f.p", "f.h", F.lit(1).cast("long").alias("k")).alias("f"))
+    # rows that repeat with their id have one key, and its places once
+    flagged = flags.groupBy("key", "key2").agg(F.collect_set("f").alias("flagged"))
+    segments = _segments(texts.join(flagged, ["key", "key2"]).select("key", "key2", "text", "flagged"))
+    marks = _marks(segments.repartition("h", "salt").sortWithinPartitions("h", "salt"))
+    ranges = marks.where("b is not null").select("key", "key2", "a", "b")
     if any_hot:
-        across, place = Window.partitionBy("x", "y"), F.struct("key", "a")
-        met = marks.where("x is not null").withColumn("low", F.min(place).over(across)).withColumn("high", F.max(place).over(across)).where("low != high")
-        ranges = marks.where("b is not null").select("key", "a", "b").unionByName(met.select("key", "a", (F.col("a") + LENGTH).alias("b")))
-    # rows that repeat with their id have one key
-    whole = found.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.max("size").alias("b")).where((F.col("rows") > 1) & (F.col("b") >= LENGTH)).select("key", F.lit(0).cast("long").alias("a"), "b")
-    ranges = ranges.unionByName(whole).groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
+        windows, place = marks.where("x is not null").select("key", "key2", "a", "x", "y"), F.struct("key", "key2", "a")
+        twice = windows.groupBy("x", "y").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low != high").select("x", "y")
+        met = windows.join(twice, ["x", "y"], "left_semi")
+        ranges = ranges.unionByName(met.select("key", "key2", "a", (F.col("a") + LENGTH).alias("b")))
+    whole = found.groupBy("key", "key2").agg(F.count(F.lit(1)).alias("rows"), F.max("size").alias("b")).where((F.col("rows") > 1) & (F.col("b") >= LENGTH)).select("key", "key2", F.lit(0).cast("long").alias("a"), "b")
+    ranges = ranges.unionByName(whole).groupBy("key", "key2").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
     return texts, ranges
 
 
@@ -301,7 +334,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             size.append(len(raw))
         return {"doc_id": batch.column(0), "n_bytes": size, "n_removed": removed, "n_spans": spans, "kept": kept}
 
-    return map_batches(texts.join(ranges, "key", "left").select("doc_id", "text", "ranges"), per_batch, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return map_batches(texts.join(ranges, ["key", "key2"], "left").select("doc_id", "text", "ranges"), per_batch, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def repeat_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: int = UNIT) -> DataFrame:
