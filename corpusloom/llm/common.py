@@ -53,3 +53,11 @@ def map_batches(df: DataFrame, per_batch: Callable[[pa.RecordBatch], dict], sche
 def is_held_out(id_name: str = "doc_id") -> Column:
     """The fold that no model is fitted on: crc32 of the id as text, divisible by 5."""
     return F.coalesce(F.crc32(F.col(id_name).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def free_name(df: DataFrame, wish: str) -> str:
+    """wish, or a longer name that no column of df has in any case."""
+    taken = {c.lower() for c in df.columns}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish

@@ -7,7 +7,8 @@ set; the join is between classes.
    hash. Two sets that link share a gram among the n - ceil(percent * n / 100) + 1 first ones of either, so these are a set's
    index keys, less those that no other set has. Passages that many documents share come last in the order, and are keys of a
    set only where little else is in it. Numbers of documents come from one exchange: chunks of about CHUNK_GRAMS grams send
-   48-bit prints of them by ranges of the print, with the place of the owner in the chunk, and get back what others have too.
+   48-bit prints of them by ranges of the print, each once with the number and places of its owners in the chunk, and get back
+   what others have too. A range's prints are unpacked and counted in slices.
    Equal prints of different grams only add candidates, as prints are what is counted and ordered. A chunk keeps one row of a
    key and links the others to it, so that no key has more rows than there are chunks.
 2. Candidate blocks are the connected components of rows that share a key: no link goes between blocks. Every set goes to
@@ -18,15 +19,16 @@ set; the join is between classes.
    are only possible where the leader is within twice the distance, and are tested there, unless both are connected already.
    So all components come out exactly without testing all pairs of a group of near copies. At 50 percent or less twice the
    distance bounds nothing: every document leads then.
-4. Blocks over UNIT documents are cut into units; then their leaders meet, and pairs of units are searched only while a block
-   has more than one component.
+4. Blocks over UNIT documents are cut into units. Then one leader of each component meets the others, in up to ROUNDS rounds of units
+   by other orders of grams while there are more leaders than fit in one; pairs of units are searched only in a block that has more
+   than one component after that.
 
 Sets are told apart by their key, never by doc_id: ids may be null or repeat. Sets of classes whose ids are all null are made
 again from the rows without an id. A component's smallest id is taken at the end.
 
 Defined results: null and empty texts, and texts without words, have an empty set and link with nothing; a text of fewer words
 than n is one gram; rows that repeat are of one class; a null id never is a component's smallest id unless all are null; an
-empty table gives an empty result; other columns are not read. Two different sets get one 64-bit key with a chance of 2**-64 a pair.
+empty table gives an empty result; other columns are not read. Two different sets count as one with a chance of 2**-128 a pair.
 """
 
 from __future__ import annotations
@@ -45,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import id_and_text, prepare
+from corpusloom.llm.common import free_name, id_and_text, prepare
 
 UNIT = 5000
 #: Short lists of more entries than this are merged by sorting and the long ones probed for all candidates at once; the result is the heap's.
@@ -53,9 +55,11 @@ SORT_MERGE = 4096
 #: DivideSkip's factor for the share of lists that are probed.
 LONG_FACTOR = 0.01
 #: A chunk of documents whose grams are counted together; its documents are under 2**16.
-CHUNK_GRAMS, CHUNK_ROWS = 500_000, 20_000
-#: Bits of a gram's print, and bytes of text for which there is a range of prints. Over MOST_RANGES, ranges grow with the input.
-PRINT_BITS, RANGE_BYTES, LEAST_RANGES, MOST_RANGES = 48, 4_000_000, 256, 1 << 17
+CHUNK_GRAMS, MOST_CHUNK_GRAMS, CHUNK_ROWS = 500_000, 4_000_000, 20_000
+#: Bits of a gram's print, and bytes of text for which there is a range of prints. Over MOST_RANGES, ranges grow with the input; their prints are counted in slices of about SLICE.
+PRINT_BITS, RANGE_BYTES, LEAST_RANGES, MOST_RANGES, SLICE = 48, 4_000_000, 256, 1 << 20, 4_000_000
+#: Rounds in which the leaders of a large block meet, in units by other orders of grams.
+ROUNDS = 3
 #: Rows of (id, key, block, size) that are broadcast at most, about 20 MB; more of them are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 TEXT_BLOCK = 1 << 16
@@ -114,10 +118,17 @@ def gram_set(text: str, n: int) -> np.ndarray:
     return np.unique(h)
 
 
-def set_key(grams: np.ndarray) -> int:
+def set_key(grams: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell sets apart, as two numbers."""
     with np.errstate(over="ignore"):
-        x = mix(np.array([mix(grams ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64) + np.uint64(len(grams))], np.uint64))
-    return int(x.view(np.int64)[0])
+        sums = [mix(grams ^ np.uint64(seed)).sum(dtype=np.uint64) + np.uint64(len(grams)) for seed in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
+        a, b = mix(np.array(sums, np.uint64)).view(np.int64).tolist()
+    return a, b
+
+
+def least_hashes(grams: np.ndarray) -> list[int]:
+    """The smallest gram under each of ROUNDS orders, by which units of leaders are made."""
+    return [int(mix(grams ^ np.uint64(seed)).min() >> np.uint64(1)) for seed in range(1, ROUNDS + 1)]
 
 
 @dataclass(frozen=True)
@@ -287,7 +298,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return both.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(both.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
-_CHUNK = "chunk long, mark long, ids array<long>, sizes array<long>, keys array<long>, prints binary, owners binary"
+_CHUNK = "chunk long, mark long, ids array<long>, sizes array<long>, keys array<long>, keys2 array<long>, prints binary, counts binary, owners binary"
 _LONGS = pa.list_(pa.int64())
 
 
@@ -297,8 +308,14 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[t]) for i, (_, t) in enumerate(fields)], names=[f for f, _ in fields])
 
 
-def _chunks(rows: DataFrame, rule: Rule, bits: int) -> DataFrame:
-    """Chunks of documents: a row with ids, sizes and keys, and for each range of prints a row with the prints and their owners."""
+def _spread(n: int) -> int:
+    """n, mixed: numbers in a row go to ranges all over."""
+    return int(mix(np.array([n], np.uint64))[0])
+
+
+def _chunks(rows: DataFrame, rule: Rule, bits: int, chunk_grams: int) -> DataFrame:
+    """Chunks of documents: a row with ids, sizes and keys, and for each range of prints a row with the chunk's different prints, the
+    number of its sets with each, and these sets' places, print by print."""
     schema = f"span long, {_CHUNK}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,10 +327,12 @@ def _chunks(rows: DataFrame, rule: Rule, bits: int) -> DataFrame:
             owners = np.repeat(np.array(owner, np.uint16), [len(x) for x in sets])
             order = np.argsort(prints, kind="stable")
             prints, owners = prints[order], owners[order]
+            different, first, counts = np.unique(prints, return_index=True, return_counts=True)
+            ends = np.concatenate([first, [len(owners)]])
             chunk, mark = place << 32 | number, int.from_bytes(hashlib.blake2b(repr((ids, keys)).encode(), digest_size=8).digest(), "little", signed=True)
-            cut = np.searchsorted(prints, np.arange(1 << bits, dtype=np.uint64) << np.uint64(PRINT_BITS - bits))
-            out = [(chunk % (1 << bits), chunk, mark, ids, sizes, keys, None, None)]
-            out += [(i, chunk, mark, None, None, None, pack(prints[a:b]), owners[a:b].tobytes()) for i, (a, b) in enumerate(itertools.pairwise([*cut.tolist(), len(prints)])) if a < b]
+            cut = np.searchsorted(different, np.arange(1 << bits, dtype=np.uint64) << np.uint64(PRINT_BITS - bits))
+            out = [(_spread(chunk) % (1 << bits), chunk, mark, ids, sizes, [k[0] for k in keys], [k[1] for k in keys], None, None, None)]
+            out += [(i, chunk, mark, None, None, None, None, pack(different[a:b]), counts[a:b].astype("<u2").tobytes(), owners[ends[a] : ends[b]].tobytes()) for i, (a, b) in enumerate(itertools.pairwise([*cut.tolist(), len(different)])) if a < b]
             return _batch(out, schema)
 
         for batch in batches:
@@ -328,7 +347,7 @@ def _chunks(rows: DataFrame, rule: Rule, bits: int) -> DataFrame:
                 ids.append(doc)
                 sizes.append(len(grams))
                 keys.append(key)
-                if count >= CHUNK_GRAMS or len(ids) >= CHUNK_ROWS:
+                if count >= chunk_grams or len(ids) >= CHUNK_ROWS:
                     yield flush()
                     number += 1
                     ids, sizes, keys, sets, owner, seen, count = [], [], [], [], [], set(), 0
@@ -344,39 +363,66 @@ def _shared_prints(chunks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span, held = None, []
 
-        def close() -> pa.RecordBatch:
-            prints = [unpack(r[2]) for r in held]
-            _, inverse, count = np.unique(np.concatenate([*prints, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
-            level = (np.frexp(count)[1] - 1).astype(np.uint64)[inverse]
-            out, at = [], 0
-            for (chunk, mark, _, owners), x in zip(held, prints, strict=True):
-                high = level[at : at + len(x)]
-                at += len(x)
-                if (pick := high > 0).any():
-                    out.append((chunk, mark, None, None, None, (high << np.uint64(PRINT_BITS) | x)[pick].tobytes(), np.frombuffer(owners, np.uint16)[pick].tobytes()))
+        def close() -> Iterator[pa.RecordBatch]:
+            # packed rows are held; a slice of the range at a time is unpacked into one array
+            n = sum(len(r[3]) // 2 for r in held)
+            low, high = span_bounds(held)
+            slices = -(-n // SLICE)
+            step = max(1, -(-(high - low + 1) // slices))
+            for edge in range(low, high + 1, step):
+                yield from count(edge, edge + step)
             held.clear()
-            return _batch(out, _CHUNK)
+
+        def span_bounds(rows: list[tuple]) -> tuple[int, int]:
+            ends = [unpack(r[2])[[0, -1]] for r in rows]
+            return min(int(e[0]) for e in ends), max(int(e[1]) for e in ends)
+
+        def count(low: int, high: int) -> Iterator[pa.RecordBatch]:
+            parts = []
+            for chunk, mark, prints, counts, owners in held:
+                x, c = unpack(prints), np.frombuffer(counts, "<u2").astype(np.int64)
+                a, b = np.searchsorted(x, np.array([low, high], np.uint64))
+                if a < b:
+                    start = int(c[:a].sum())
+                    parts.append((chunk, mark, x[a:b], c[a:b], np.frombuffer(owners, np.uint16)[start : start + int(c[a:b].sum())]))
+            if not parts:
+                return
+            _, inverse = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True)
+            total = np.bincount(inverse, weights=np.concatenate([p[3] for p in parts]))
+            level, out, at = (np.frexp(total)[1] - 1).astype(np.uint64)[inverse], [], 0
+            for chunk, mark, x, c, owners in parts:
+                own = level[at : at + len(x)]
+                at += len(x)
+                if (own > 0).any():
+                    every = np.repeat(own << np.uint64(PRINT_BITS) | x, c)
+                    pick = np.repeat(own > 0, c)
+                    out.append((chunk, mark, None, None, None, None, every[pick].tobytes(), None, owners[pick].tobytes()))
+            if out:
+                yield _batch(out, _CHUNK)
 
         for batch in batches:
-            for row in zip(*(batch.column(n).to_pylist() for n in ("span", "chunk", "mark", "ids", "sizes", "keys", "prints", "owners")), strict=True):
+            for row in zip(*(batch.column(n).to_pylist() for n in ("span", "chunk", "mark", "ids", "sizes", "keys", "keys2", "prints", "counts", "owners")), strict=True):
                 if row[3] is not None:
                     yield _batch([row[1:]], _CHUNK)
                     continue
                 if row[0] != span and held:
-                    yield close()
+                    yield from close()
                 span = row[0]
-                held.append((row[1], row[2], row[6], row[7]))
+                held.append((row[1], row[2], row[7], row[8], row[9]))
         if held:
-            yield close()
+            yield from close()
 
     return chunks.repartition("span").sortWithinPartitions("span").mapInArrow(run, _CHUNK)
 
 
 def _profiles(rows: DataFrame, rule: Rule) -> DataFrame:
     """doc_id, n, key, index keys kept by this row, keys of sets that it shares others with."""
-    schema = "doc_id long, n long, key long, kept array<long>, links array<long>"
+    schema = "doc_id long, n long, key long, key2 long, kept array<long>, links array<struct<key: bigint, key2: bigint>>"
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(LEAST_RANGES, min(MOST_RANGES, size // RANGE_BYTES)).bit_length() - 1
+    # a chunk of so many ranges has more grams, so that its rows stay worth their heads
+    chunk_grams = max(CHUNK_GRAMS, min(MOST_CHUNK_GRAMS, 4 << bits))
+    pair = pa.struct([("key", pa.int64()), ("key2", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, held = None, []
@@ -385,9 +431,10 @@ def _profiles(rows: DataFrame, rule: Rule) -> DataFrame:
             info = [r for r in held if r[1] is not None]
             if len(info) != 1 or len({r[0] for r in held}) != 1:
                 raise RuntimeError("a chunk was read again with other rows: the input has to be a stable one, as files or a checkpoint are")
-            _, ids, sizes, keys, _, _ = info[0]
-            grams = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r[4], "<u8") for r in held if r[1] is None)])
-            owner = np.concatenate([np.zeros(0, np.uint16), *(np.frombuffer(r[5], np.uint16) for r in held if r[1] is None)]).astype(np.int64)
+            _, ids, sizes, first_keys, second_keys, _, _ = info[0]
+            keys = list(zip(first_keys, second_keys, strict=True))
+            grams = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r[5], "<u8") for r in held if r[1] is None)])
+            owner = np.concatenate([np.zeros(0, np.uint16), *(np.frombuffer(r[6], np.uint16) for r in held if r[1] is None)]).astype(np.int64)
             order = np.lexsort((grams, owner))
             grams, owner = grams[order], owner[order]
             n_shared = np.bincount(owner, minlength=len(ids))
@@ -407,10 +454,11 @@ def _profiles(rows: DataFrame, rule: Rule) -> DataFrame:
             split = np.searchsorted(owner[at], np.arange(len(ids) + 1))
             values = grams.view(np.int64)
             held.clear()
-            return _batch([(ids[i], sizes[i], keys[i], values[at[split[i] : split[i + 1]]], links[i]) for i in range(len(ids))], schema)
+            columns = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(first_keys, pa.int64()), pa.array(second_keys, pa.int64()), pa.array([values[at[split[i] : split[i + 1]]] for i in range(len(ids))], _LONGS), pa.array([[{"key": a, "key2": b} for a, b in x] for x in links], pa.list_(pair))]
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "key", "key2", "kept", "links"])
 
         for batch in batches:
-            for row in zip(*(batch.column(n).to_pylist() for n in ("chunk", "mark", "ids", "sizes", "keys", "prints", "owners")), strict=True):
+            for row in zip(*(batch.column(n).to_pylist() for n in ("chunk", "mark", "ids", "sizes", "keys", "keys2", "prints", "owners")), strict=True):
                 if row[0] != chunk and held:
                     yield close()
                 chunk = row[0]
@@ -418,7 +466,22 @@ def _profiles(rows: DataFrame, rule: Rule) -> DataFrame:
         if held:
             yield close()
 
-    return _shared_prints(_chunks(rows, rule, bits)).repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, schema)
+    return _shared_prints(_chunks(rows, rule, bits, chunk_grams)).repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, schema)
+
+
+#: Sets that share one half of their key are told apart by another number; more of them than this are no accident.
+MOST_TWINS = 10_000
+
+
+def _one_key(profiles: DataFrame) -> tuple[DataFrame, list[int]]:
+    """profiles with one number for a set, in key and links: the first half of its 128-bit key, or, where different sets share that, a hash of both halves. The shared halves, which 10**10 sets have about three of, come to the driver."""
+    halves = profiles.where("n > 0").groupBy("key").agg(F.min("key2").alias("low"), F.max("key2").alias("high"))
+    twins = sorted(r.key for r in halves.where("low != high").select("key").limit(MOST_TWINS + 1).collect())
+    if len(twins) > MOST_TWINS:
+        raise RuntimeError("too many sets share half of a key")
+    whole = lambda k, k2: F.when(k.isin(twins), F.xxhash64(k, k2)).otherwise(k) if twins else k
+    named = profiles.withColumns({"key": whole(F.col("key"), F.col("key2")), "links": F.transform("links", lambda x: whole(x["key"], x["key2"]))})
+    return named.drop("key2"), twins
 
 
 def _search(sets: DataFrame, rule: Rule) -> DataFrame:
@@ -471,22 +534,25 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def _sets(rows: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """The sets of wanted (doc_id, key, block, size): block, size, key, doc_id, n, grams, low (its smallest gram)."""
+def _sets(rows: DataFrame, wanted: DataFrame, rule: Rule, twins: list[int]) -> DataFrame:
+    """The sets of wanted (doc_id, key, block, size): block, size, key, doc_id, n, grams, low (its smallest gram), lows (by other orders)."""
+    parts = {"block": pa.int64(), "size": pa.int64(), "key": pa.int64(), "doc_id": pa.int64(), "n": pa.int64(), "grams": pa.binary(), "low": pa.int64(), "lows": _LONGS, "k1": pa.int64(), "k2": pa.int64()}
+    schema = "block long, size long, key long, doc_id long, n long, grams binary, low long, lows array<long>, k1 long, k2 long"
+    own = F.when(F.col("k1").isin(twins), F.xxhash64("k1", "k2")).otherwise(F.col("k1")) if twins else F.col("k1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c = {n: batch.column(n).to_pylist() for n in ("doc_id", "text", "key", "block", "size")}
             grams = [gram_set(t, rule.words) for t in c["text"]]
-            good = [i for i, g in enumerate(grams) if set_key(g) == c["key"][i]]
-            pick = lambda name: [c[name][i] for i in good]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(pick("block"), pa.int64()), pa.array(pick("size"), pa.int64()), pa.array(pick("key"), pa.int64()), pa.array(pick("doc_id"), pa.int64()), pa.array([len(grams[i]) for i in good], pa.int64()), pa.array([grams[i].tobytes() for i in good], pa.binary()), pa.array([int(grams[i][0] >> np.uint64(1)) for i in good], pa.int64())],
-                names=["block", "size", "key", "doc_id", "n", "grams", "low"],
-            )
-
-    schema = "block long, size long, key long, doc_id long, n long, grams binary, low long"
-    found = rows.join(small(wanted), "doc_id").mapInArrow(run, schema)
+            keys = [set_key(g) for g in grams]
+            # without twins a set of another key goes here, so that it isn't sent
+            good = [i for i, g in enumerate(grams) if len(g) and (twins or keys[i][0] == c["key"][i])]
+            columns = {n: [c[n][i] for i in good] for n in ("block", "size", "key", "doc_id")}
+            columns |= {"n": [len(grams[i]) for i in good], "grams": [grams[i].tobytes() for i in good], "low": [int(grams[i][0] >> np.uint64(1)) for i in good], "lows": [least_hashes(grams[i]) for i in good], "k1": [keys[i][0] for i in good], "k2": [keys[i][1] for i in good]}
+            yield pa.RecordBatch.from_arrays([pa.array(columns[n], t) for n, t in parts.items()], names=list(parts))
+
+    made = lambda df: df.mapInArrow(run, schema).where(own == F.col("key")).drop("k1", "k2")
+    found = made(rows.join(small(wanted), "doc_id"))
     unnamed = wanted.where("doc_id is null")
     if not unnamed.limit(1).count():
         return found
@@ -494,18 +560,19 @@ def _sets(rows: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
-            yield pa.RecordBatch.from_arrays([texts, pa.array([set_key(gram_set(t, rule.words)) for t in texts.to_pylist()], pa.int64())], names=["text", "key"])
+            both = [set_key(gram_set(t, rule.words)) for t in texts.to_pylist()]
+            yield pa.RecordBatch.from_arrays([texts, pa.array([k[0] for k in both], pa.int64()), pa.array([k[1] for k in both], pa.int64())], names=["text", "k1", "k2"])
 
     # a null id joins nothing: these rows are found by the key of their set
-    texts = rows.where("doc_id is null").distinct().mapInArrow(keys, "text string, key long").join(small(unnamed.drop("doc_id")), "key")
-    return found.unionByName(texts.dropDuplicates(["key"]).withColumn("doc_id", F.lit(None).cast("long")).mapInArrow(run, schema))
+    texts = rows.where("doc_id is null").distinct().mapInArrow(keys, "text string, k1 long, k2 long").select("text", own.alias("key")).join(small(unnamed.drop("doc_id")), "key")
+    return found.unionByName(made(texts.dropDuplicates(["key"]).withColumn("doc_id", F.lit(None).cast("long"))))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = Rule(), unit: int = UNIT) -> DataFrame:
     """doc_id, n_shingles, component_id, class_size (rows of equal sets)."""
     prepare(docs.sparkSession)
     rows = id_and_text(docs, id_col, text_col)
-    profiles = _profiles(rows, rule).checkpoint()
+    profiles, twins = _one_key(_profiles(rows, rule).checkpoint())
     classes = profiles.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("class_size"))
     signed = profiles.select("key", F.explode("kept").alias("s"))
     paired = signed.select("key", F.min("key").over(Window.partitionBy("s")).alias("m")).where("key != m").select(F.col("key").alias("a"), F.col("m").alias("b"))
@@ -513,7 +580,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     blocks = components(edges)
     sizes = blocks.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     wanted = blocks.join(sizes, "label").join(classes, blocks.node == classes.key).select(F.col("rep").alias("doc_id"), "key", F.col("label").alias("block"), "size").checkpoint()
-    sets = _sets(rows, wanted, rule)
+    sets = _sets(rows, wanted, rule, twins)
     # the units of a large block are ranges of the smallest gram, which near copies mostly share
     sets = sets.withColumn("unit", F.when(F.col("size") > unit, F.floor(F.col("low") / ((1 << 63) * 1.0) * F.ceil(F.col("size") / unit))).otherwise(0).cast("long"))
     large = sizes.where(F.col("size") > unit).limit(1).count() > 0
@@ -532,15 +599,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _across(rows: DataFrame, wanted: DataFrame, found: DataFrame, sets: DataFrame, links: DataFrame, rule: Rule, unit: int) -> DataFrame:
-    """Links between the units of large blocks: among leaders first; then, where a block still has several components, between all pairs of its units."""
+    """Links between the units of large blocks: among leaders first, in rounds; then, where a block still has several components, between all pairs of its units."""
     big = sets.where(F.col("size") > unit)
-    leaders = big.join(found.where("leads").select("key", "root"), "key")
-    # one leader of each component of a unit meets those of the other units
-    one = leaders.groupBy("block", "root").agg(F.min("key").alias("key")).select("key")
-    met = _search(leaders.join(one, "key", "left_semi").select("block", F.lit(0).cast("long").alias("unit"), "key", "doc_id", "n", "grams", F.lit(None).cast("long").alias("label")), rule)
-    links = links.unionByName(met.select(F.col("key").alias("a"), F.col("root").alias("b"))).checkpoint()
-    labels = components(links)
-    member = found.join(labels, found.key == labels.node, "left").select("key", "block", F.coalesce("label", "key").alias("label"))
+    none = F.lit(None).cast("long")
+    label = found.select("key", "block", "leads", F.col("root").alias("label"))
+    for k in range(ROUNDS):
+        # one leader of each component so far; a block's are cut into units by the smallest gram in another order each round
+        one = label.where("leads").groupBy("block", "label").agg(F.min("key").alias("key"))
+        held = one.join(one.groupBy("block").agg(F.count(F.lit(1)).alias("leaders")).where("leaders > 1"), "block").select("key", "leaders").checkpoint()
+        if not held.limit(1).count():
+            break
+        parts = F.ceil(F.col("leaders") / unit)
+        cut = F.when(F.col("leaders") > unit, F.floor(F.get("lows", F.lit(k)) / ((1 << 63) * 1.0) * parts)).otherwise(0).cast("long")
+        met = _search(big.join(held, "key").select("block", cut.alias("unit"), "key", "doc_id", "n", "grams", none.alias("label")), rule)
+        links = links.unionByName(met.select(F.col("key").alias("a"), F.col("root").alias("b"))).checkpoint()
+        labels = components(links)
+        label = found.join(labels, found.key == labels.node, "left").select("key", "block", "leads", F.coalesce("label", "key").alias("label")).checkpoint()
+        if held.where(F.col("leaders") > unit).limit(1).count() == 0:
+            break  # all leaders of every block have met
+    member = label.select("key", "block", "label")
     several = member.groupBy("block").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("block")
     rest = big.join(several, "block", "left_semi").join(member.select("key", "label"), "key")
     n = F.ceil(F.col("size") / unit).cast("long")
@@ -553,5 +630,6 @@ def _across(rows: DataFrame, wanted: DataFrame, found: DataFrame, sets: DataFram
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = Rule()) -> DataFrame:
     """The rows of docs with the smallest id of their component, and rows with a null id. Whole copies are left to exact deduplication: rows of the id that stays all stay."""
     found = jaccard_components(docs, id_col, text_col, rule).where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.expr("doc_id <=> component_id")).alias("stays"))
-    gone = found.where("not stays").select(F.col("doc_id").alias("_gone_id")).checkpoint()
-    return docs.join(small(gone), docs[id_col].cast("long") == F.col("_gone_id"), "left_anti")
+    name = free_name(docs, "_gone_id")
+    gone = found.where("not stays").select(F.col("doc_id").alias(name)).checkpoint()
+    return docs.join(small(gone), docs[id_col].cast("long") == F.col(name), "left_anti")
