@@ -32,29 +32,18 @@ _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", " \t\n\r"
 _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 
-def byte_signs() -> dict[str, int]:
-    """The characters that byte-level vocabularies write bytes with: printable ones as themselves, the others from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 class Encoder:
     """Ids as little-endian 32-bit bytes. Keeps the ids of pre-tokens it has met, at most LIMIT.
 
-    New pre-tokens are merged by tiktoken under the ranks of the tokenizer's own vocabulary, where ids follow merge order;
-    texts that the split leaves whole go to the tokenizer itself."""
+    The tokenizer merges within pre-tokens only, so a text's ids are those of its pre-tokens in a row; new pre-tokens, and texts
+    that the split leaves whole, go to the tokenizer itself."""
 
     LIMIT = 400_000
 
     def __init__(self, path: str) -> None:
-        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        signs = byte_signs()
-        ranks = {bytes(signs[c] for c in token): i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if all(c in signs for c in token) and not token.startswith("<|")}
-        self.merge = tiktoken.Encoding("own", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def __call__(self, text: str) -> bytes:
         if _ODD.search(text):
@@ -67,8 +56,8 @@ class Encoder:
         if len(known) + len(new) > self.LIMIT:
             known.clear()
             new = list(dict.fromkeys(words))
-        for w in new:
-            ids = self.merge(w.encode())
+        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            ids = e.ids
             known[w] = struct.pack(f"<{len(ids)}I", *ids)
         return b"".join(map(known.__getitem__, words))
 
@@ -247,18 +236,27 @@ def _round(rows: DataFrame, n: int, tag: int, capacity: int) -> DataFrame:
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, and ids where cut has them. Ids take no part in the search: they are joined to the places it finds by the number of their row."""
     prepare(cut.sparkSession)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    rows = cut.select(*names).withColumn("rid", F.monotonically_increasing_id()).checkpoint()
-    whole = rows.where(F.col("length") >= capacity).select(*names, (-1 - F.col("rid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    held = cut.withColumn("rid", F.monotonically_increasing_id()).checkpoint()
+    rows = held.select(*names, "rid")
+    whole = rows.where(F.col("length") >= capacity).select(*names, (-1 - F.col("rid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "rid")
     part = rows.where(F.col("length") < capacity)
     first = _round(part, part.count(), 0, capacity).checkpoint()
     open_rows = first.where(F.col("fill") < capacity).drop("sequence_id", "offset", "fill")
     second = _round(open_rows, open_rows.count(), 1, capacity)
-    out = [*names, "sequence_id", "offset"]
-    return whole.unionByName(first.where(F.col("fill") >= capacity).select(*out)).unionByName(second.select(*out))
+    out = [*names, "sequence_id", "offset", "rid"]
+    placed = whole.unionByName(first.where(F.col("fill") >= capacity).select(*out)).unionByName(second.select(*out))
+    return placed.join(held.select("rid", "ids"), "rid").drop("rid") if "ids" in cut.columns else placed.drop("rid")
+
+
+def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+    return pack(pieces(tokenize(docs, path, id_col, text_col), capacity, with_ids), capacity)
 
 
-def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    return pack(pieces(tokenize(docs, path, id_col, text_col), capacity), capacity)
+def sequences(packed: DataFrame) -> DataFrame:
+    """sequence_id, length, ids (binary) of what pack() gives with ids: its pieces in order, at most a capacity of them."""
+    one = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("p"), F.sum("length").alias("length"))
+    joined = F.aggregate("p", F.lit(b"").cast("binary"), lambda all_ids, x: F.concat(all_ids, x["ids"]))
+    return one.select("sequence_id", "length", joined.alias("ids"))
