@@ -1,25 +1,26 @@
 """Language identification with a string kernel.
 
 Kernel: blended-spectrum presence of byte n-grams (1 to 3) of the lower-cased text, letters only, normalised:
-k(x, y) = |grams(x) & grams(y)| / sqrt(|grams(x)| |grams(y)|). Nyström landmarks give features of rank <= m; one-versus-rest
+k(x, y) = |grams(x) & grams(y)| / sqrt(|grams(x)| |grams(y)|); grams are numbered, not hashed. Nyström landmarks give features of rank <= m; one-versus-rest
 kernel ridge regression is solved on them. The landmarks' presence matrix times the solution is one (grams x languages)
 matrix, so a batch is scored by one product of its presence matrix with that matrix.
 
 The fit learns every language there is, from a bounded sample of about PER_LANGUAGE rows of each, chosen by a hash of the id.
 The sample's grams, not texts, come to the driver. Landmarks are LANDMARKS, or LEAST_LANDMARKS a language where that is more.
 
-Defined results: a null text or one without a letter is `und` with score 0; equal texts score equally; with nothing to learn
+Defined results: a null text or one without a letter (as str.isalpha() has it) is `und` with score 0; equal texts score equally;
+of languages that score the same the first by name is predicted; very long texts are read whole; with nothing to learn
 from, every text is `und`; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,38 +28,46 @@ from corpusloom.llm.common import id_and_text, is_held_out, map_batches, prepare
 
 PER_LANGUAGE, LANDMARKS, LEAST_LANDMARKS = 300, 256, 4
 RIDGE, SHARPNESS = 1e-3, 6.0
-TRIGRAM_BITS = 17
-SIZE = 256 + 65536 + (1 << TRIGRAM_BITS)
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
-_FOLD = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+#: A letter is what str.isalpha() takes for one: not numbers such as a half or a roman numeral's sign.
+_LETTER = regex.compile(r"\p{L}")
+#: Bytes by sign: a to z, those of other letters, and one for all between words. A gram's number is exact: 1, 2 and 3 signs follow one another.
+_FOLD = bytes(b - 96 if 97 <= b <= 122 else b - 101 if b >= 128 else 0 for b in range(256))
+SIGNS = 155
+SIZE = SIGNS + SIGNS**2 + SIGNS**3
 
 
-def grams(text: str, seen: np.ndarray) -> np.ndarray:
-    """Numbers of the n-grams present, ascending; seen: SIZE zero bytes, left as they were."""
-    a = np.frombuffer(b" " + text.lower().encode().translate(_FOLD) + b" ", np.uint8).astype(np.uint32)
-    seen[a] = 1
-    two = a[:-1] << np.uint32(8) | a[1:]
-    seen[two + np.uint32(256)] = 1
-    three = (two[:-1] << np.uint32(8) | a[2:]) * np.uint32(2654435761) >> np.uint32(32 - TRIGRAM_BITS)
-    seen[three + np.uint32(256 + 65536)] = 1
-    found = np.flatnonzero(seen)
-    seen[found] = 0
-    return found
+def grams(text: str, place: np.ndarray) -> np.ndarray:
+    """Numbers of the different n-grams of a text, in any order; place: SIZE numbers of any value, which are written over."""
+    a = np.frombuffer(b"\0" + text.lower().encode("utf-8", "surrogatepass").translate(_FOLD) + b"\0", np.uint8).astype(np.int32)
+    two = a[:-1] * SIGNS + a[1:]
+    every = np.concatenate([a, two + SIGNS, two[:-1] * SIGNS + a[2:] + (SIGNS + SIGNS**2)])
+    # of equal numbers the one that wrote last stays
+    own = np.arange(len(every), dtype=np.int32)
+    place[every] = own
+    return every[place[every] == own]
 
 
 @dataclass
 class Model:
+    """Weights of the grams that landmarks have; others weigh nothing, but count in a text's norm."""
+
     languages: list[str]
-    weights: np.ndarray  # grams x languages
+    used: np.ndarray  # numbers of grams, ascending
+    weights: np.ndarray  # used grams, and one row of zeros, x languages
+
+    def __post_init__(self) -> None:
+        self.rows = self.place = None
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Products of the texts' normalised presence rows with the weights."""
-        seen = np.zeros(SIZE, np.uint8)
-        rows = [grams(t, seen) for t in texts]
-        starts = np.cumsum([0, *(len(r) for r in rows[:-1])])
-        sums = np.add.reduceat(self.weights[np.concatenate(rows)], starts, axis=0)
-        return sums / np.sqrt([len(r) for r in rows])[:, None]
+        if self.rows is None:  # made where it is used, not sent
+            self.rows, self.place = np.full(SIZE, len(self.used), np.int32), np.zeros(SIZE, np.int32)
+            self.rows[self.used] = np.arange(len(self.used), dtype=np.int32)
+        found = [grams(t, self.place) for t in texts]
+        starts = np.cumsum([0, *(len(r) for r in found[:-1])])
+        sums = np.add.reduceat(self.weights[self.rows[np.concatenate(found)]], starts, axis=0)
+        return sums / np.sqrt([len(r) for r in found])[:, None]
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
@@ -76,7 +85,7 @@ class Model:
 def solve(rows: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS) -> Model:
     languages = sorted({lang for lang, _ in rows})
     if not languages:
-        return Model([], np.zeros((0, 0), np.float32))
+        return Model([], np.zeros(0, np.int32), np.zeros((1, 0), np.float32))
     by = defaultdict(list)
     for lang, r in rows:
         by[lang].append(r)
@@ -105,9 +114,9 @@ def solve(rows: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS) -> Mod
     # targets are 1 for a row's language and -1 for the others
     right = np.array(sums).T
     solution = half @ np.linalg.solve(square, 2 * right - right.sum(1, keepdims=True))
-    weights = np.zeros((SIZE, len(languages)), np.float32)
-    weights[used] = presence @ solution
-    return Model(languages, weights)
+    weights = np.zeros((len(used) + 1, len(languages)), np.float32)
+    weights[:-1] = presence @ solution
+    return Model(languages, used.astype(np.int32), weights)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
@@ -118,9 +127,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     shares = rows.groupBy("lang").agg(share.alias("share"))
 
     def run(batches):
-        seen = np.zeros(SIZE, np.uint8)
+        place = np.zeros(SIZE, np.int32)
         for batch in batches:
-            found = [grams(t, seen) for t in batch.column(1).to_pylist()]
+            found = [np.sort(grams(t, place)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([f.astype("<i4").tobytes() for f in found], pa.binary())], names=["doc_id", "lang", "grams"])
 
     sample = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share")).select("doc_id", "text", "lang")
