@@ -11,8 +11,9 @@ parts are searched by A*.
 
 Score of a piece: -ln(rank + 2), its rank being the negated stored score; a byte piece scores less than any other.
 
-Defined results: null and empty texts have one segmentation, of no piece; ties go to the smaller ids; equal texts give equal
-rows; an empty table gives an empty result; other columns are not read. Decoding gives back every text exactly, as this model's
+Defined results: null and empty texts have one segmentation, of no piece; of segmentations that score the same the best one has, from
+the end, the piece that starts first, and further ones follow in the order of the search, which depends on the text only; equal texts give equal
+rows; very long texts are segmented whole; an empty table gives an empty result; other columns are not read. Decoding gives back every text exactly, as this model's
 normalisation only marks spaces; a text with the space mark itself (U+2581) decodes to spaces there.
 """
 
@@ -45,8 +46,14 @@ class Vocabulary:
         plain = [i for i in range(len(self.pieces)) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.score = {self.pieces[i]: (-math.log(max(0.0, -sp.get_score(i)) + 2), i) for i in plain}
         self.byte_score = -math.log(2 * len(self.pieces) + 2)
-        #: score and ids of a piece; nothing for what only begins one
-        self.begins: dict[str, tuple] = {p[:k]: () for p in self.score for k in range(1, len(p) + 1)} | {p: (s, (i,)) for p, (s, i) in self.score.items()}
+        #: a trie of the pieces: by character the score and ids of the piece that ends there, or nothing twice, and what may follow
+        self.root: dict[str, list] = {}
+        for piece, (s, i) in self.score.items():
+            kids = self.root
+            for c in piece:
+                node = kids.setdefault(c, [None, None, {}])
+                kids = node[2]
+            node[:2] = s, (i,)
         self.raw = [p.replace(MARK, " ").encode() for p in self.pieces]
         for b, i in self.bytes.items():
             self.raw[i] = bytes([b])
@@ -67,11 +74,13 @@ class Vocabulary:
         """By end position: (start, score, ids)."""
         out: list[list] = [[] for _ in range(len(part) + 1)]
         for a in range(len(part)):
-            for b in range(a + 1, len(part) + 1):
-                if (found := self.begins.get(part[a:b])) is None:
+            kids = self.root
+            for b in range(a, len(part)):
+                if (node := kids.get(part[b])) is None:
                     break
-                if found:
-                    out[b].append((a, *found))
+                s, ids, kids = node
+                if s is not None:
+                    out[b + 1].append((a, s, ids))
             if part[a] not in self.score:
                 raw = part[a].encode("utf-8", "surrogatepass")
                 out[a + 1].append((a, self.byte_score * len(raw), tuple(self.bytes[x] for x in raw)))
@@ -85,19 +94,20 @@ class Vocabulary:
 
 def viterbi(vocabulary: Vocabulary, part: str) -> tuple[list[float], list[float], list]:
     """Forward: by position the best score, the best through another last edge, and the best one's last edge (of equal ones the longest)."""
-    n, score, begins = len(part), vocabulary.score, vocabulary.begins.get
+    n, score, root = len(part), vocabulary.score, vocabulary.root
     best, second, back = [-math.inf] * (n + 1), [-math.inf] * (n + 1), [None] * (n + 1)
     best[0] = 0.0
     for a in range(n):
-        base = best[a]
-        for b in range(a + 1, n + 1):
-            found = begins(part[a:b])
-            if found is None:
+        base, kids, b = best[a], root, a
+        for c in part[a:] if a else part:
+            if (node := kids.get(c)) is None:
                 break
-            if found:
-                s = base + found[0]
+            b += 1
+            s, ids, kids = node
+            if s is not None:
+                s += base
                 if s > best[b]:
-                    second[b], best[b], back[b] = best[b], s, (a, found[1])
+                    second[b], best[b], back[b] = best[b], s, (a, ids)
                 elif s > second[b]:
                     second[b] = s
         if part[a] not in score:
@@ -133,13 +143,14 @@ def n_best(edges: list[list], best: list[float], n: int) -> list[tuple[float, tu
 
 
 class Segmenter:
-    """Keeps the parts it has solved, at most LIMIT."""
+    """Keeps the parts it has solved, in about LIMIT bytes; a part over LONGEST is solved each time."""
 
-    LIMIT = 400_000
+    LIMIT, LONGEST = 96 << 20, 4096
 
     def __init__(self, path: str, n: int = N_BEST) -> None:
         self.vocabulary, self.n = Vocabulary(path), n
         self.parts: dict[str, tuple[bytes, float, float]] = {}
+        self.held = 0
 
     def _solve(self, part: str) -> tuple[bytes, float, float]:
         """Best ids, their score, and how much the second-best path scores less: the least loss of another edge into a position of the best one."""
@@ -151,9 +162,12 @@ class Segmenter:
             at, own = back[at]
             ids += own[::-1]
         known = struct.pack(f"<{len(ids)}I", *reversed(ids)), best[-1], gap
-        if len(self.parts) >= self.LIMIT:
-            self.parts.clear()
-        self.parts[part] = known
+        if len(part) <= self.LONGEST:
+            self.held += 300 + 4 * len(part) + len(known[0])  # the objects' own sizes and their place in the dict
+            if self.held > self.LIMIT:
+                self.parts.clear()
+                self.held = 300 + 4 * len(part) + len(known[0])
+            self.parts[part] = known
         return known
 
     def choices(self, part: str) -> list[tuple[float, bytes]]:
@@ -212,7 +226,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def n_best_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", n: int = N_BEST) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32, score, n_found, nbest_scores, nbest_crc32 (comma-joined), decoded_equal (of each: whether it decodes to the text)."""
+    """doc_id, n_pieces, ids_crc32, score, n_found, nbest_scores, nbest_crc32 (comma-joined), decoded_equal (whether the best one decodes to the text), decoded_sha256."""
     held: list[Segmenter] = []
 
     def per_batch(batch):
