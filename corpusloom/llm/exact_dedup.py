@@ -5,8 +5,8 @@
    large, sends one text a block.
 2. Rounds over those texts count bytes under each node of a byte trie; nodes heavier than a leaf are split by
    the next byte after their common prefix. A round looks twice as far as the one before where all bytes it
-   saw are common, so that a long common header takes few rounds. Nodes hold depths, not prefixes. A leaf is
-   a 512th of the texts, between 1 and 16 MB; with MAX_LEAVES of them, leaves grow with the input.
+   saw are common, so that a long common header takes few rounds. Nodes hold depths, not prefixes.
+   Beyond MAX_LEAVES leaves they grow with the input.
 3. A shuffle deals texts out by trie leaf; in a leaf they are ordered by their bytes (an external sort, which
    spills, however large the leaf), and neighbours are compared whole.
 4. drop_exact_copies() sends the rows themselves to the leaves and gives those that stay, so texts move once;
@@ -32,7 +32,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from corpusloom.llm.common import free_name, prepare
 
 BLOCK_BYTES = 4 << 20
-LEAST_LEAF, LEAF_BYTES, LEAVES = 1 << 20, 16 << 20, 512
+LEAF_BYTES = 16 << 20
 MAX_LEAVES = 65_536
 #: Bytes after a node's known prefix that a first round looks at for a longer common prefix.
 LOOK = 256
@@ -140,7 +140,7 @@ def _round(texts: DataFrame, trie: Trie) -> None:
 class _Groups:
     """Texts to leaves: the local collapse, the trie and the order that both uses of it share. Its own columns get names that docs doesn't have."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, leaf_bytes: int | None) -> None:
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, leaf_bytes: int) -> None:
         prepare(docs.sparkSession)
         self.names, self.id_col, self.text_col = docs.columns, id_col, text_col
         self.gid, self.here, self.n, self.most, self.leaf, self.bytes = (free_name(docs, x) for x in ("_gid", "_here", "_n", "_max", "_leaf", "_bytes"))
@@ -148,7 +148,7 @@ class _Groups:
         self.kept = self.rows.where(F.col(self.here))
         texts = self.kept.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"))
         total = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-        self.trie = trie = Trie(leaf_bytes or max(LEAST_LEAF, min(LEAF_BYTES, total // LEAVES)))
+        self.trie = trie = Trie(leaf_bytes)
         trie.heavy[0] = total > trie.most
         while any(trie.heavy):
             _round(texts, trie)
@@ -212,7 +212,7 @@ class _Groups:
         return rows.mapInArrow(route, schema).repartition(F.col(self.leaf)).sortWithinPartitions(self.leaf, self.bytes)
 
 
-def assign_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leaf_bytes: int | None = None) -> DataFrame:
+def assign_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leaf_bytes: int = LEAF_BYTES) -> DataFrame:
     """All rows and columns of docs, with _keep_id, _group_size, _kept and _sha256 (longer names where docs has these); only rows that stay hold their text."""
     g = _Groups(docs, id_col, text_col, leaf_bytes)
 
@@ -254,7 +254,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select("doc_id", F.col("_keep_id").alias("keep_id"), F.col("_group_size").alias("group_size"), F.col("_kept").alias("kept"), F.col("_sha256").alias("text_sha256"))
 
 
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leaf_bytes: int | None = None) -> DataFrame:
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leaf_bytes: int = LEAF_BYTES) -> DataFrame:
     """The rows of docs that stay, with their own columns. A block's row of the largest id goes to the text's leaf, where the largest of all blocks stays."""
     g = _Groups(docs, id_col, text_col, leaf_bytes)
     arrow, width = to_arrow_schema(docs.schema), len(docs.columns)

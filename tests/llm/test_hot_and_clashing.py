@@ -61,7 +61,7 @@ def _groups(rows):
     return by
 
 
-@pytest.mark.parametrize("leaf", [None, 300])
+@pytest.mark.parametrize("leaf", [exact_dedup.LEAF_BYTES, 300])
 def test_long_common_headers(spark, leaf, monkeypatch):
     rng = random.Random(2)
     head = "".join(rng.choices("abcdef", k=70_000))
