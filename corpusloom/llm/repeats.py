@@ -27,7 +27,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import map_batches, prepare, text_or_empty
@@ -131,13 +132,14 @@ def anchored_repeats(lefts: list[bytes], rights: list[bytes], least: int = LENGT
 
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
-    """(key, key2, text) to, by document, its bytes, its anchors that stand for their block (hash, packed place, whether the block has no other), and all that the block has several times."""
+    """(key, key2, text) to, by document, a number of the row, its bytes, its anchors that stand for their block (hash, packed place, whether the block has no other), and all that the block has several times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sizes, places, hashes, count = [], [], [], [], 0
+        number = TaskContext.get().partitionId() << 36
 
         def flush() -> pa.RecordBatch:
-            nonlocal keys, sizes, places, hashes, count
+            nonlocal keys, sizes, places, hashes, count, number
             owner = np.repeat(np.arange(len(keys)), [len(p) for p in places])
             place, h = np.concatenate(places), np.concatenate(hashes)
             _, first, inverse, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
@@ -151,9 +153,10 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
                 return pa.ListArray.from_arrays(pa.array(ends), pa.array(values[at], kind))
 
             out = pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(sizes, pa.int64()), lists(own, h, pa.int64()), lists(own, place, pa.int64()), lists(own, n == 1, pa.bool_()), lists(n > 1, place, pa.int64()), lists(n > 1, h, pa.int64())],
-                names=["key", "key2", "size", "h", "place", "alone", "again", "again_h"],
+                [pa.array(range(number, number + len(keys)), pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(sizes, pa.int64()), lists(own, h, pa.int64()), lists(own, place, pa.int64()), lists(own, n == 1, pa.bool_()), lists(n > 1, place, pa.int64()), lists(n > 1, h, pa.int64())],
+                names=["row", "key", "key2", "size", "h", "place", "alone", "again", "again_h"],
             )
+            number += len(keys)
             keys, sizes, places, hashes, count = [], [], [], [], 0
             return out
 
@@ -171,12 +174,15 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
         if keys:
             yield flush()
 
-    return docs.mapInArrow(run, "key long, key2 long, size long, h array<long>, place array<long>, alone array<boolean>, again array<long>, again_h array<long>")
+    return docs.mapInArrow(run, "row long, key long, key2 long, size long, h array<long>, place array<long>, alone array<boolean>, again array<long>, again_h array<long>")
 
 
-_SEGMENTS = "h long, salt long, hot boolean, before long, segment binary, size long, n long, keys array<long>, keys2 array<long>, starts array<long>"
-_LONGS = pa.list_(pa.int64())
-_SEGMENT_KINDS = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), _LONGS, _LONGS, _LONGS)
+#: info: the segment's size and the bytes before its anchor, whether the anchor is dealt out, and how many places there are; places: key, key2 and start of each.
+_SEGMENTS = "h long, salt long, info long, segment binary, places binary"
+
+
+def _info(size: int, before: int, hot: bool, n: int) -> int:
+    return n << 32 | hot << 31 | before << 16 | size
 
 
 def _segments(rows: DataFrame) -> DataFrame:
@@ -192,13 +198,15 @@ def _segments(rows: DataFrame) -> DataFrame:
             out = []
             for (h, before, segment, units), places in held.items():
                 salt = zlib.crc32(segment) % units if units > 1 else 0
-                columns = tuple(map(list, zip(*places, strict=True)))
-                out.append((h, salt, units > 1, before, segment, len(segment), len(places), *(c[:1] for c in columns)))
+                raw = np.array(places, "<i8").tobytes()
+                info = _info(len(segment), before, units > 1, len(places))
+                out.append((h, salt, info, segment, raw[:24]))
                 if len(places) > 1:
-                    out.append((columns[0][0], -1 - columns[2][0] % 64, False, before, None, len(segment), len(places), *columns))
+                    out.append((places[0][0], -1 - places[0][2] % 64, info, None, raw))
             held.clear()
             count = 0
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(_SEGMENT_KINDS)], names=[f.split()[0] for f in _SEGMENTS.split(", ")])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=[f.split()[0] for f in _SEGMENTS.split(", ")])
 
         for batch in batches:
             for key, key2, text, flagged in zip(*(batch.column(n).to_pylist() for n in ("key", "key2", "text", "flagged")), strict=True):
@@ -242,15 +250,16 @@ def _marks(segments: DataFrame) -> DataFrame:
             unit.clear()
 
         for batch in batches:
-            names = ("h", "salt", "hot", "before", "segment", "size", "n", "keys", "keys2", "starts")
-            for h, salt, hot, before, segment, size, n, keys, keys2, starts in zip(*(batch.column(x).to_pylist() for x in names), strict=True):
+            for h, salt, info, segment, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                size, before, hot, n = info & 0xFFFF, info >> 16 & 0x7FFF, bool(info >> 31 & 1), info >> 32
+                places = np.frombuffer(raw, "<i8").reshape(-1, 3).tolist()
                 if segment is None:
-                    out.extend((k, k2, a, a + size, None, None) for k, k2, a in zip(keys, keys2, starts, strict=True))
+                    out.extend((k, k2, a, a + size, None, None) for k, k2, a in places)
                     continue
                 if at != (h, salt):
                     solve()
                     at, spread = (h, salt), hot
-                place = keys[0], keys2[0], starts[0]
+                place = tuple(places[0])
                 if (seen := unit.get((before, segment))) is None:
                     unit[before, segment] = [place, n > 1]
                 else:  # met twice: the first place, and this one, repeat; several of a block were marked there
@@ -288,24 +297,24 @@ def repeat_ranges(docs: DataFrame, unit: int = UNIT) -> tuple[DataFrame, DataFra
     own = [F.coalesce("doc_id", F.lit(-1).cast("long")), F.col("doc_id").isNull(), F.col("text")]
     texts = docs.select("doc_id", "text", F.xxhash64(*own).alias("key"), F.xxhash64(F.lit("second"), *own).alias("key2"))
     found = _anchor_rows(texts.select("key", "key2", "text")).checkpoint()
-    one = found.select("key", "key2", F.explode(F.arrays_zip("h", "place", "alone")).alias("x")).select("key", "key2", F.col("x.h").alias("h"), F.col("x.place").alias("p"), F.col("x.alone").alias("alone"))
-    # partial counts first; the places themselves are joined, where a hot anchor's can be split
-    many = one.groupBy("h").agg(F.count(F.lit(1)).alias("blocks")).where("blocks > 1").select("h")
-    met_again = one.where("alone").join(many, "h", "left_semi").select("key", "key2", F.struct("p", "h").alias("f"))
-    again = found.select("key", "key2", F.explode(F.arrays_zip("again", "again_h")).alias("x")).select("key", "key2", F.struct(F.col("x.again").alias("p"), F.col("x.again_h").alias("h")).alias("f"))
+    one = found.select("row", F.explode(F.arrays_zip("h", "place", "alone")).alias("x")).select("row", F.col("x.h").alias("h"), F.col("x.place").alias("p"), F.col("x.alone").alias("alone"))
+    # a hash has a row of each block that has it; the window spills
+    met_again = one.withColumn("blocks", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("blocks > 1 and alone").select("row", F.struct("p", "h").alias("f"))
+    again = found.select("row", F.explode(F.arrays_zip("again", "again_h")).alias("x")).select("row", F.struct(F.col("x.again").alias("p"), F.col("x.again_h").alias("h")).alias("f"))
     flags = met_again.unionByName(again).checkpoint()
     hot = flags.groupBy("f.h").agg(F.count(F.lit(1)).alias("total")).where(F.col("total") > unit)
     # how many units an anchor is dealt over goes with its places, so that segments move once
     if any_hot := hot.limit(1).count() > 0:
         # a hot anchor's places are spread over SPREAD parts, and its row is copied to each: at most SPREAD rows for every `unit` places
-        part = F.pmod(F.xxhash64("key", "f.p"), F.lit(SPREAD)).cast("int")
+        part = F.pmod(F.xxhash64("row", "f.p"), F.lit(SPREAD)).cast("int")
         hot = hot.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
         flags = flags.withColumn("part", part)
-        flags = flags.join(hot, (F.col("f.h") == hot.h) & (flags.part == hot.part), "left").select("key", "key2", F.struct("f.p", "f.h", F.coalesce(F.ceil(F.col("total") / unit), F.lit(1)).cast("long").alias("k")).alias("f"))
+        flags = flags.join(hot, (F.col("f.h") == hot.h) & (flags.part == hot.part), "left").select("row", F.struct("f.p", "f.h", F.coalesce(F.ceil(F.col("total") / unit), F.lit(1)).cast("long").alias("k")).alias("f"))
     else:
-        flags = flags.select("key", "key2", F.struct("f.p", "f.h", F.lit(1).cast("long").alias("k")).alias("f"))
-    # rows that repeat with their id have one key, and its places once
-    flagged = flags.groupBy("key", "key2").agg(F.collect_set("f").alias("flagged"))
+        flags = flags.select("row", F.struct("f.p", "f.h", F.lit(1).cast("long").alias("k")).alias("f"))
+    # rows that repeat with their id have one key, and the places of one of them
+    of_key = found.groupBy("key", "key2").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("rows"), F.max("size").alias("b"))
+    flagged = flags.groupBy("row").agg(F.collect_list("f").alias("flagged")).join(of_key.select("key", "key2", "row"), "row").drop("row")
     segments = _segments(texts.join(flagged, ["key", "key2"]).select("key", "key2", "text", "flagged"))
     marks = _marks(segments.repartition("h", "salt").sortWithinPartitions("h", "salt"))
     ranges = marks.where("b is not null").select("key", "key2", "a", "b")
@@ -314,7 +323,7 @@ def repeat_ranges(docs: DataFrame, unit: int = UNIT) -> tuple[DataFrame, DataFra
         twice = windows.groupBy("x", "y").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low != high").select("x", "y")
         met = windows.join(twice, ["x", "y"], "left_semi")
         ranges = ranges.unionByName(met.select("key", "key2", "a", (F.col("a") + LENGTH).alias("b")))
-    whole = found.groupBy("key", "key2").agg(F.count(F.lit(1)).alias("rows"), F.max("size").alias("b")).where((F.col("rows") > 1) & (F.col("b") >= LENGTH)).select("key", "key2", F.lit(0).cast("long").alias("a"), "b")
+    whole = of_key.where((F.col("rows") > 1) & (F.col("b") >= LENGTH)).select("key", "key2", F.lit(0).cast("long").alias("a"), "b")
     ranges = ranges.unionByName(whole).groupBy("key", "key2").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
     return texts, ranges
 
