@@ -10,7 +10,7 @@
    left contexts: those that differ to the left end a maximal repeat there, with the common left context and the interval's
    prefix as its extent. Every occurrence in the interval is met, not only neighbours in the array, and members of the larger part
    are only compared where one of the smaller part lies next to them in left order, as others are covered by longer repeats.
-4. Windows of anchors that were dealt over several units meet once more by their 128-bit hashes, counted before they are joined.
+4. Windows of anchors that were dealt over several units meet once more by their 128-bit hashes, one row of a unit and window.
 5. Marks are gathered by document, and the bytes left are joined.
 
 Strings are compared as bytes within units. Defined results: a null text equals an empty one; texts under LENGTH bytes keep all; rows that
@@ -242,11 +242,17 @@ def _marks(segments: DataFrame) -> DataFrame:
                     if parts and not whole:
                         k, k2, a = seen[0]
                         out.extend((k, k2, a + n - left, a + n + right, None, None) for left, right in set(parts))
-            if spread:
-                for (_, s), ((k, k2, a), _) in unit.items():
-                    for o in range(len(s) - LENGTH + 1):
-                        d = hashlib.blake2b(s[o : o + LENGTH], digest_size=16).digest()
-                        out.append((k, k2, a + o, None, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
+            if spread:  # each different window of the unit once, at its first place
+                digests = b"".join(hashlib.blake2b(s[o : o + LENGTH], digest_size=16).digest() for _, s in unit for o in range(len(s) - LENGTH + 1))
+                pairs = np.frombuffer(digests, "<i8").reshape(-1, 2)
+                order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+                same = np.flatnonzero((pairs[order[1:]] == pairs[order[:-1]]).all(1)) + 1
+                kept = np.sort(np.delete(order, same))
+                first = np.cumsum([0, *(len(s) - LENGTH + 1 for _, s in unit)])
+                owner, places = np.searchsorted(first, kept, "right") - 1, [seen[0] for seen in unit.values()]
+                for i, j, (x, y) in zip(kept.tolist(), owner.tolist(), pairs[kept].tolist(), strict=True):
+                    k, k2, a = places[j]
+                    out.append((k, k2, a + i - int(first[j]), None, x, y))
             unit.clear()
 
         for batch in batches:
@@ -317,11 +323,13 @@ def repeat_ranges(docs: DataFrame, unit: int = UNIT) -> tuple[DataFrame, DataFra
     flagged = flags.groupBy("row").agg(F.collect_list("f").alias("flagged")).join(of_key.select("key", "key2", "row"), "row").drop("row")
     segments = _segments(texts.join(flagged, ["key", "key2"]).select("key", "key2", "text", "flagged"))
     marks = _marks(segments.repartition("h", "salt").sortWithinPartitions("h", "salt"))
+    if any_hot:  # it is read twice
+        marks = marks.checkpoint()
     ranges = marks.where("b is not null").select("key", "key2", "a", "b")
     if any_hot:
-        windows, place = marks.where("x is not null").select("key", "key2", "a", "x", "y"), F.struct("key", "key2", "a")
-        twice = windows.groupBy("x", "y").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low != high").select("x", "y")
-        met = windows.join(twice, ["x", "y"], "left_semi")
+        # a window has one row of each unit that has it
+        across, place = Window.partitionBy("x", "y"), F.struct("key", "key2", "a")
+        met = marks.where("x is not null").withColumn("low", F.min(place).over(across)).withColumn("high", F.max(place).over(across)).where("low != high")
         ranges = ranges.unionByName(met.select("key", "key2", "a", (F.col("a") + LENGTH).alias("b")))
     whole = of_key.where((F.col("rows") > 1) & (F.col("b") >= LENGTH)).select("key", "key2", F.lit(0).cast("long").alias("a"), "b")
     ranges = ranges.unionByName(whole).groupBy("key", "key2").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
