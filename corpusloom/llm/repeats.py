@@ -321,7 +321,8 @@ def repeat_ranges(docs: DataFrame, unit: int = UNIT) -> tuple[DataFrame, DataFra
     # rows that repeat with their id have one key, and the places of one of them
     of_key = found.groupBy("key", "key2").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("rows"), F.max("size").alias("b"))
     flagged = flags.groupBy("row").agg(F.collect_list("f").alias("flagged")).join(of_key.select("key", "key2", "row"), "row").drop("row")
-    segments = _segments(texts.join(flagged, ["key", "key2"]).select("key", "key2", "text", "flagged"))
+    # doc_id stays, so that this join and that of remove_repeats() use one exchange of texts
+    segments = _segments(texts.join(flagged, ["key", "key2"]).select("doc_id", "key", "key2", "text", "flagged"))
     marks = _marks(segments.repartition("h", "salt").sortWithinPartitions("h", "salt"))
     if any_hot:  # it is read twice
         marks = marks.checkpoint()
