@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: File extensions by kind, and language names.
-CODE = "rs py js ts tsx jsx go java c h cpp hpp cc cs rb php swift kt scala sh bash zsh lua r sql pl".split()
-DATA = "json yaml yml toml xml csv tsv ini jsonl parquet".split()
-EMAIL = "eml msg mbox".split()
+#: File extensions by kind, formats by MIME type, and language names.
+CODE = "rs py js ts go java c cpp h hpp cs rb sh bash zsh swift kt scala zig lua pl r m php ex erl hs ml clj v sv vhd s asm sql proto thrift graphql tf nix jsx tsx vue svelte css scss less sass".split()
+DATA = "json yaml yml toml ini properties csv tsv xml xsd wsdl avro parquet".split()
+EMAIL = "eml mbox pst".split()
+FORMATS = {"text/html": "html", "text/plain": "txt", "text/csv": "csv", "text/xml": "xml", "application/json": "json", "application/pdf": "pdf"}
 LANGUAGES = {
-    "english": "en", "german": "de", "deutsch": "de", "french": "fr", "français": "fr", "spanish": "es", "español": "es", "italian": "it", "portuguese": "pt", "dutch": "nl", "russian": "ru", "swedish": "sv", "danish": "da", "norwegian": "no", "finnish": "fi",
-    "polish": "pl", "czech": "cs", "hungarian": "hu", "romanian": "ro", "turkish": "tr", "greek": "el", "arabic": "ar", "hebrew": "he", "chinese": "zh", "japanese": "ja", "korean": "ko", "latin": "la", "tamil": "ta", "hindi": "hi", "ukrainian": "uk",
+    "arabic": "ar", "catalan": "ca", "chinese": "zh", "czech": "cs", "danish": "da", "dutch": "nl", "english": "en", "finnish": "fi", "french": "fr", "german": "de", "greek": "el", "hebrew": "he", "hindi": "hi", "hungarian": "hu", "indonesian": "id", "italian": "it",
+    "japanese": "ja", "korean": "ko", "latin": "la", "malay": "ms", "norwegian": "no", "polish": "pl", "portuguese": "pt", "romanian": "ro", "russian": "ru", "spanish": "es", "swedish": "sv", "thai": "th", "turkish": "tr", "ukrainian": "uk", "vietnamese": "vi",
 }
+LANGUAGE_CODE = r"^[a-z]{2,3}(-[a-zA-Z0-9]{2,8})*$"
 
 
 def extension(path: Column) -> Column:
@@ -20,13 +22,25 @@ def extension(path: Column) -> Column:
 
 
 def kind_of(path: Column, mime: Column | None = None) -> Column:
+    """code, data, email or document: by extension, else by MIME type."""
     e = extension(path)
     out = F.when(e.isin(*CODE), "code").when(e.isin(*DATA), "data").when(e.isin(*EMAIL), "email")
     if mime is not None:
-        out = out.when(mime == "message/rfc822", "email").when(mime.isin("application/json", "text/csv", "application/xml"), "data")
+        out = out.when(mime.startswith("text/x-") | mime.contains("x-source") | mime.contains("x-script"), "code")
+        out = out.when(mime.isin("text/csv", "text/tab-separated-values", "application/json") | mime.contains("yaml") | (mime.contains("xml") & ~mime.contains("html")), "data")
+        out = out.when((mime == "message/rfc822") | mime.contains("mbox") | mime.contains("outlook-pst"), "email")
     return out.otherwise("document")
 
 
+def format_of(path: Column, mime: Column | None = None) -> Column:
+    """The lower-cased extension, else the MIME type's format, else null."""
+    out = empty_as_null(extension(path))
+    if mime is None:
+        return out
+    known = F.create_map(*[F.lit(x) for pair in FORMATS.items() for x in pair])
+    return F.coalesce(out, F.try_element_at(known, mime), F.when(mime.contains("markdown"), "md"))
+
+
 def empty_as_null(x: Column) -> Column:
     return F.nullif(x, F.lit(""))
 
@@ -56,10 +70,14 @@ def merge_tags(existing: Column, config: Column) -> Column:
 
 
 def lang_code(x: Column) -> Column:
-    """A name or code, the first of a list; null if it is neither."""
-    one = F.lower(F.trim(F.element_at(F.split(x, "[;,/]"), 1)))
+    """A code: of a name, or as it stands, with its case kept after the first hyphen; else of the first of a list; null if neither."""
     names = F.create_map(*[F.lit(v) for pair in LANGUAGES.items() for v in pair])
-    return F.coalesce(F.try_element_at(names, one), F.when(one.rlike(r"^[a-z]{2,3}(-[a-z0-9]{2,8})*$"), one))
+    trimmed = F.trim(x)
+    at = F.instr(trimmed, "-")
+    whole = F.when(at > 0, F.concat(F.lower(F.substr(trimmed, F.lit(1), at - 1)), F.substr(trimmed, at))).otherwise(F.lower(trimmed))
+    first = F.trim(F.element_at(F.split(whole, "[;,/]"), 1))
+    code = lambda one: F.coalesce(F.try_element_at(names, one), F.when(one.rlike(LANGUAGE_CODE), one))
+    return F.coalesce(code(whole), code(first))
 
 
 def html_strip(html: Column) -> Column:

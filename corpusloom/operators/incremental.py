@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import os
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from corpusloom.storage import Files
 
 
 def freshness(found: DataFrame, stamps: DataFrame) -> DataFrame:
@@ -61,41 +64,97 @@ def owned(docs: DataFrame, kind: str, base: str) -> DataFrame:
     return docs.where(test)
 
 
-class VersionedTable:
-    """A table as numbered folders and a pointer; a commit writes a new folder, then moves the pointer by one atomic rename. The path is on storage that driver and executors share."""
+class TableError(RuntimeError):
+    """A table whose pointers are lost, or that another commit has changed meanwhile."""
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
-        self.fs = spark._jvm.org.apache.hadoop.fs.FileSystem.get(spark._jvm.java.net.URI(path), spark._jsc.hadoopConfiguration())
 
-    def _p(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(os.path.join(self.path, name))
+class VersionedTable:
+    """A table as folders of buckets of a key, and numbered pointers to them. The path is on storage that driver and executors share.
+
+    A commit writes new folders, then one pointer CURRENT.<n> that lists, by bucket, the folder that holds it, and the schema. A
+    pointer is a new file with an end mark; readers take the highest that is whole, so that a commit that breaks off at any step leaves
+    the table as it was. Nobody's pointer is written over: of two commits at a time one fails. Upserts and deletes write anew only
+    the buckets of the keys that they bring."""
+
+    def __init__(self, spark: SparkSession, path: str, key: str = "source_id", buckets: int = 64) -> None:
+        self.spark, self.path, self.key, self.buckets, self.files = spark, path.rstrip("/"), key, buckets, Files(spark, path)
+
+    def _pointer(self) -> tuple[int, dict | None]:
+        numbers = sorted((int(n.split(".")[1]) for n in self.files.names() if n.startswith("CURRENT.")), reverse=True)
+        for n in numbers:
+            try:
+                held = json.loads(self.files.read(f"CURRENT.{n}"))
+            except ValueError:  # broken off while it was written
+                continue
+            if held.get("end"):
+                return numbers[0], held
+        # a first commit that broke off has folders of number 1 only
+        if any(n.startswith("v-") and int(n.split("-")[1]) > 1 for n in self.files.names()):
+            raise TableError(f"{self.path} has versions, but no pointer to them")
+        return (numbers or [0])[0], None
 
     def version(self) -> str | None:
-        if not self.fs.exists(self._p("CURRENT")):
-            return None
-        return self.spark.read.text(os.path.join(self.path, "CURRENT")).first()[0]
+        held = self._pointer()[1]
+        return held and held["version"]
 
     def read(self) -> DataFrame | None:
-        v = self.version()
-        return None if v is None else self.spark.read.parquet(os.path.join(self.path, v))
-
-    def commit(self, rows: DataFrame) -> str:
-        v = f"v-{uuid.uuid4().hex}"
-        rows.write.parquet(os.path.join(self.path, v))
-        out = self.fs.create(self._p(f"CURRENT.{v}"))
-        out.write(bytearray(v.encode()))
-        out.close()
-        self.fs.delete(self._p("CURRENT"), False)
-        self.fs.rename(self._p(f"CURRENT.{v}"), self._p("CURRENT"))
+        held = self._pointer()[1]
+        return None if held is None else self._rows(held, held["buckets"])
+
+    def _rows(self, held: dict, folders: dict[str, str]) -> DataFrame:
+        schema = StructType.fromJson(held["schema"])
+        paths = [f"{self.path}/{v}/_b={b}" for b, v in sorted(folders.items())]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _bucket(self, n: int):
+        return F.pmod(F.xxhash64(self.key), F.lit(n)).cast("int")
+
+    def _commit(self, rows: DataFrame, kept: dict[str, str], number: int, n: int) -> str:
+        v = f"v-{number + 1}-{uuid.uuid4().hex}"
+        rows.withColumn("_b", self._bucket(n)).repartition("_b").write.partitionBy("_b").parquet(f"{self.path}/{v}")
+        new = {name.split("=")[1]: v for name in self.files.names(v) if name.startswith("_b=")}
+        try:
+            self.files.create(f"CURRENT.{number + 1}", json.dumps({"version": v, "n": n, "buckets": kept | new, "schema": rows.schema.jsonValue(), "end": True}))
+        except Exception as e:
+            raise TableError(f"{self.path} was changed by another commit, or its pointer could not be written") from e
         return v
 
-    def upsert(self, fresh: DataFrame, key: str = "source_id") -> str:
-        now = self.read()
-        return self.commit(fresh if now is None else now.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh, allowMissingColumns=True))
-
-    def delete(self, keys: DataFrame, key: str = "source_id") -> str:
-        return self.commit(self.read().join(keys.select(key).distinct(), key, "left_anti"))
+    def commit(self, rows: DataFrame) -> str:
+        """rows are the whole table from now on."""
+        return self._commit(rows, {}, self._pointer()[0], self.buckets)
+
+    def _change(self, keys: DataFrame, fresh: DataFrame | None) -> str:
+        number, held = self._pointer()
+        if held is None:
+            return self._commit(fresh if fresh is not None else keys.limit(0), {}, number, self.buckets)
+        n, keys = held["n"], keys.select(self.key).distinct()
+        touched = {str(r.b) for r in keys.select(self._bucket(n).alias("b")).distinct().collect()}  # at most n
+        rows = self._rows(held, {b: v for b, v in held["buckets"].items() if b in touched}).join(keys, self.key, "left_anti")
+        rows = rows if fresh is None else rows.unionByName(fresh, allowMissingColumns=True)
+        return self._commit(rows, {b: v for b, v in held["buckets"].items() if b not in touched}, number, n)
+
+    def upsert(self, fresh: DataFrame, key: str | None = None) -> str:
+        """The rows of fresh replace all rows of their keys."""
+        if key not in (None, self.key):
+            raise ValueError(f"the table is kept by {self.key}")
+        return self._change(fresh, fresh)
+
+    def delete(self, keys: DataFrame, key: str | None = None) -> str:
+        if key not in (None, self.key):
+            raise ValueError(f"the table is kept by {self.key}")
+        return self._change(keys, None)
 
     def compact(self, files: int = 1) -> str:
-        return self.commit(self.read().coalesce(files))
+        """One file a bucket, and the pointer before this one's versions are the only others that stay."""
+        v = self.commit(self.read())
+        pointers = sorted((int(n.split(".")[1]) for n in self.files.names() if n.startswith("CURRENT.")))
+        used = set()
+        for n in pointers[-2:]:
+            held = json.loads(self.files.read(f"CURRENT.{n}") or "{}")
+            used |= set(held.get("buckets", {}).values()) | {held.get("version")}
+        for n in pointers[:-2]:
+            self.files.delete(f"CURRENT.{n}")
+        for name in self.files.names():
+            if name.startswith("v-") and name not in used:
+                self.files.delete(name)
+        return v

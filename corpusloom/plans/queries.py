@@ -225,9 +225,9 @@ def field_terms(spark, d):
     return L.field_terms(C.docs(spark, d), "lang")
 
 
-@query("SELECT source_id, count(*) AS chunks FROM chunks_v WHERE doc_id % 7 = 0 GROUP BY source_id")
+@query("SELECT source_id, count(*) AS chunks FROM chunks_v GROUP BY source_id")
 def chunks_per_source(spark, d):
-    return L.chunks_of_sources(C.chunks(spark, d), C.docs(spark, d).where("doc_id % 7 = 0"))
+    return L.chunks_of_sources(C.chunks(spark, d), C.docs(spark, d))
 
 
 @query("SELECT source_id, arg_min(topic, chunk_index) AS topic, count(*) AS chunk_count, sum(len(list_filter(regexp_split_to_array(body, '\\s+'), lambda w: w <> ''))) AS word_count FROM chunks_v GROUP BY source_id")
@@ -326,10 +326,23 @@ def extract_regex_meta(spark, d):
     return C.read(spark, d, "documents").select("doc_id", X.extract_meta(F.col("text"), r"([0-9]+\.[0-9]+\.[0-9]+)").alias("found"))
 
 
-@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN lang WHEN 1 THEN 'de' WHEN 2 THEN 'pt-br' END AS code FROM documents")
+#: Inputs and what they amount to, as fixed values that the SQL holds.
+LANGUAGE_CASES = [("English", "en"), ("en-US", "en-US"), ("English; French", "en"), ("&lang,", None), ("'eng'", None), ("pt-BR", "pt-BR"), ("PT-br", "pt-br"), ("Catalan", "ca"), ("Indonesian", "id"), ("Malay", "ms"), ("Thai", "th"), ("Vietnamese", "vi"), ("de / fr", "de"), ("français", None)]
+KIND_CASES = [("rs", "code"), ("JSON", "data"), ("eml", "email"), ("txt", "document"), ("zig", "code"), ("hs", "code"), ("css", "code"), ("avro", "data"), ("pst", "email"), ("jsonl", "document"), ("msg", "document"), ("SQL", "code"), ("xsd", "data"), ("pdf", "document")]
+
+
+def _case(expression: str, values: list) -> str:
+    quoted = [(i, "NULL" if v is None else "'" + v.replace("'", "''") + "'") for i, v in enumerate(values)]
+    return f"CASE {expression} " + " ".join(f"WHEN {i} THEN {v}" for i, v in quoted) + " END"
+
+
+def _pick(values: list[str]):
+    return F.element_at(F.array(*map(F.lit, values)), (F.col("doc_id") % len(values) + 1).cast("int"))
+
+
+@query(f"SELECT doc_id, {_case(f'doc_id % {len(LANGUAGE_CASES)}', [c for _, c in LANGUAGE_CASES])} AS code FROM documents")
 def lang_normalize(spark, d):
-    m = F.col("doc_id") % 4
-    return C.read(spark, d, "documents").select("doc_id", X.lang_code(F.when(m == 0, F.col("lang")).when(m == 1, "German; French").when(m == 2, "pt-BR").otherwise("not a language")).alias("code"))
+    return C.read(spark, d, "documents").select("doc_id", X.lang_code(_pick([n for n, _ in LANGUAGE_CASES])).alias("code"))
 
 
 @query("SELECT page_id, replace(regexp_replace(html, '<[^>]*(>|$)', '', 'g'), '>', '') AS body FROM pages")
@@ -342,10 +355,9 @@ def html_title(spark, d):
     return C.read(spark, d, "pages").select("page_id", X.html_title(F.col("html")).alias("title"))
 
 
-@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'code' WHEN 1 THEN 'data' WHEN 2 THEN 'email' ELSE 'document' END AS kind FROM documents")
+@query(f"SELECT doc_id, {_case(f'doc_id % {len(KIND_CASES)}', [k for _, k in KIND_CASES])} AS kind FROM documents")
 def kind_detect(spark, d):
-    ext = F.element_at(F.array(*map(F.lit, ("rs", "JSON", "eml", "txt"))), (F.col("doc_id") % 4 + 1).cast("int"))
-    return C.read(spark, d, "documents").select("doc_id", X.kind_of(F.concat(F.lit("a/b."), ext)).alias("kind"))
+    return C.read(spark, d, "documents").select("doc_id", X.kind_of(F.concat(F.lit("a/b."), _pick([e for e, _ in KIND_CASES]))).alias("kind"))
 
 
 @query(r"SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://)([^/?#]*)(.*)$', 1)) || lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://)([^/?#]*)(.*)$', 2)) || regexp_replace(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://)([^/?#]*)(.*)$', 3), '/$', '') AS url FROM pages")
@@ -379,15 +391,28 @@ def enrich_candidates(spark, d):
     return L.enrich_candidates(C.docs(spark, d), source="1").select("source")
 
 
-@query("SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS first_value FROM events")
+@query("SELECT 'event/' || event_id AS source, event_type AS content, CASE WHEN event_id % 5 = 1 THEN 'code' ELSE 'document' END AS kind, CASE event_id % 3 WHEN 0 THEN 'a, b' WHEN 1 THEN 'x' END AS tags, 'feed' AS topic, NULL AS reason FROM events WHERE event_id % 7 > 2 UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, CASE event_id % 7 WHEN 0 THEN 'no source' WHEN 1 THEN 'no content' ELSE 'not a document' END FROM events WHERE event_id % 7 <= 2")
 def exec_jsonl(spark, d):
-    return C.read(spark, d, "events").select("event_id", F.try_element_at(F.map_values(F.from_json("props", "map<string,string>")), F.lit(1)).alias("first_value"))
-
-
-@query("SELECT conv_id, count(*) AS chunk_count, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS body FROM conversations GROUP BY conv_id")
+    """Lines as a command prints them: whole ones, and ones without a source, without content, or broken."""
+    k = F.col("event_id")
+    tags = F.when(k % 3 == 0, F.lit('["a","b"]')).when(k % 3 == 1, F.lit('"x"')).otherwise("null")
+    kind = F.when(k % 5 == 0, F.lit('"nothing known"')).when(k % 5 == 1, F.lit('"code"')).otherwise("null")
+    whole = F.format_string('{"source":"event/%d","content":"%s","tags":%s,"kind":%s,"topic":"own"}', k, "event_type", tags, kind)
+    line = F.when(k % 7 == 0, F.lit('{"source":"","content":"c"}')).when(k % 7 == 1, F.lit('{"source":"s"}')).when(k % 7 == 2, F.lit("{bad json")).otherwise(whole)
+    docs, failed = R.exec_jsonl(C.read(spark, d, "events").select(line.alias("value")), topic="feed")
+    none = F.lit(None).cast("string")
+    return docs.select("source", "content", "kind", "tags", "topic", none.alias("reason")).unionByName(failed.select("reason"), allowMissingColumns=True)
+
+
+@query("SELECT 'mail/cur/' || conv_id || '.' || turn AS source, 'Turn ' || turn AS title, role || '@mail.example' AS author, CASE turn % 2 WHEN 0 THEN 'seen' ELSE 'replied, flagged' END AS tags, regexp_replace(text, '\\s+', ' ', 'g') AS content FROM conversations WHERE turn % 5 <> 4")
 def mail_documents(spark, d):
-    c = C.read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    return c.select("conv_id", F.size("t").cast("long").alias("chunk_count"), F.array_join(F.transform("t", lambda x: x["text"]), "\n\n").alias("body"))
+    """Conversations as messages of a mail folder, every fifth one trashed."""
+    turn = F.col("turn")
+    flags = F.when(turn % 5 == 4, "ST").when(turn % 2 == 0, "S").otherwise("FR")
+    path = F.concat(F.lit("mail/cur/"), "conv_id", F.lit("."), turn, F.lit(":2,"), flags)
+    mail = F.concat(F.lit("Subject: Turn "), turn, F.lit("\nFrom: "), "role", F.lit("@mail.example\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"), F.regexp_replace("text", r"\s+", " "))
+    files = C.read(spark, d, "conversations").select(path.alias("source"), mail.cast("binary").alias("content"))
+    return R.maildir(files).select("source", "title", "author", "tags", "content")
 
 
 @query()
@@ -419,7 +444,7 @@ def sitemap_pages(spark, d):
     return maps.select("part", F.explode(R.sitemap_urls(F.col("xml"), "/en/")).alias("url"))
 
 
-@query()
+@query("SELECT substr(sha256(CAST(doc_id AS VARCHAR)), 1, 32) AS source_id, lang, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS words FROM documents")
 def watch_ingest(spark, d):
     """Chunks of the documents, brought by a file stream into a versioned table."""
     from corpusloom.operators.incremental import VersionedTable

@@ -84,11 +84,16 @@ def members(name: str, data: bytes, most_files: int = MAX_MEMBERS, most_bytes: i
         return
     except tarfile.TarError:
         pass
-    for suffix, reader in ((".gz", gzip.decompress), (".bz2", bz2.decompress), (".xz", lzma.decompress)):
+    for suffix, reader in ((".gz", gzip.open), (".bz2", bz2.open), (".xz", lzma.open)):
         if name.endswith(suffix):
-            out = reader(data)
-            count(len(out))
-            yield name.rsplit("/", 1)[-1].removesuffix(suffix), out
+            out = bytearray()
+            with reader(io.BytesIO(data)) as f:
+                files = 1
+                while part := f.read(1 << 20):  # no more than the bound is ever unpacked
+                    out += part
+                    if len(out) > most_bytes:
+                        raise ValueError(f"an archive of more than {most_bytes} bytes unpacked")
+            yield name.rsplit("/", 1)[-1].removesuffix(suffix), bytes(out)
 
 
 def expand_archives(files: DataFrame) -> DataFrame:
@@ -157,12 +162,13 @@ def maildir(files: DataFrame, skip_trashed: bool = True) -> DataFrame:
     return rows.mapInArrow(run, "source string, title string, author string, content string, tags string")
 
 
-def exec_jsonl(lines: DataFrame, col: str = "value") -> tuple[DataFrame, DataFrame]:
-    """JSON lines to documents and failures: source and content are required; tags may be a text or a list; kind is document by default."""
-    p = F.from_json(col, "source string, content string, title string, topic string, kind string, tags string", {"mode": "PERMISSIVE"})
+def exec_jsonl(lines: DataFrame, col: str = "value", topic: str | None = None, format: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """JSON lines to documents and failures: source and content are required; tags may be a text or a list; kind is document by default. topic is the source's own; format is for lines without one."""
+    p = F.from_json(col, "source string, content string, title string, author string, lang string, format string, topic string, kind string, tags string, created_at string", {"mode": "PERMISSIVE"})
     tags = F.coalesce(F.array_join(F.from_json("p.tags", "array<string>"), ", "), F.col("p.tags"))
     rows = lines.select(F.col(col).alias("line"), p.alias("p")).withColumn("good", F.coalesce(F.length("p.source") > 0, F.lit(False)) & F.col("p.content").isNotNull())
-    docs = rows.where("good").select("p.source", "p.content", "p.title", "p.topic", F.coalesce("p.kind", F.lit("document")).alias("kind"), tags.alias("tags"))
+    known = F.when(F.col("p.kind").isin("document", "code", "data", "email"), F.col("p.kind")).otherwise("document")
+    docs = rows.where("good").select("p.source", "p.content", "p.title", "p.author", "p.lang", F.coalesce("p.format", F.lit(format)).alias("format"), F.coalesce(F.lit(topic), "p.topic").alias("topic"), known.alias("kind"), tags.alias("tags"), "p.created_at")
     return docs, rows.where("not good").select("line", F.when(F.col("p.source").isNull() & F.col("p.content").isNull(), "not a document").when(F.col("p.content").isNull(), "no content").otherwise("no source").alias("reason"))
 
 
