@@ -324,8 +324,7 @@ def repeat_ranges(docs: DataFrame, unit: int = UNIT) -> tuple[DataFrame, DataFra
     # doc_id stays, so that this join and that of remove_repeats() use one exchange of texts
     segments = _segments(texts.join(flagged, ["key", "key2"]).select("doc_id", "key", "key2", "text", "flagged"))
     marks = _marks(segments.repartition("h", "salt").sortWithinPartitions("h", "salt"))
-    if any_hot:  # it is read twice
-        marks = marks.checkpoint()
+    # no checkpoint of marks: it would part the two joins of texts, which then couldn't use one exchange
     ranges = marks.where("b is not null").select("key", "key2", "a", "b")
     if any_hot:
         # a window has one row of each unit that has it
