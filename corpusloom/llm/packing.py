@@ -32,18 +32,27 @@ _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", " \t\n\r"
 _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 
+def byte_signs() -> dict[int, int]:
+    """The characters that byte-level vocabularies write bytes with: printable ones as themselves, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(rest)}
+
+
 class Encoder:
     """Ids as little-endian 32-bit bytes. Keeps the ids of pre-tokens it has met, at most LIMIT.
 
-    The tokenizer merges within pre-tokens only, so a text's ids are those of its pre-tokens in a row; new pre-tokens, and texts
-    that the split leaves whole, go to the tokenizer itself."""
+    The tokenizer merges within pre-tokens only, so a text's ids are those of its pre-tokens in a row. New pre-tokens go to the
+    tokenizer's model, one by one, as a batch would start threads that every task on a machine has; texts that the split leaves
+    whole go to the tokenizer itself."""
 
     LIMIT = 400_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.signs = Tokenizer.from_file(path), {}, byte_signs()
+        self.merge = self.tokenizer.model.tokenize
 
     def __call__(self, text: str) -> bytes:
         if _ODD.search(text):
@@ -56,8 +65,8 @@ class Encoder:
         if len(known) + len(new) > self.LIMIT:
             known.clear()
             new = list(dict.fromkeys(words))
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            ids = e.ids
+        for w in new:
+            ids = [t.id for t in self.merge(w.encode().decode("latin-1").translate(self.signs))]
             known[w] = struct.pack(f"<{len(ids)}I", *ids)
         return b"".join(map(known.__getitem__, words))
 
