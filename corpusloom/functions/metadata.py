@@ -118,3 +118,14 @@ def metadata(text: Column) -> Column:
         return pd.DataFrame({f: [x.get(f) for x in found] for f in FIELDS}, dtype=object)
 
     return run(text)
+
+
+def merged(primary: Column, fallback: Column) -> Column:
+    """merge() of two structs of FIELDS; either may be null."""
+    return F.struct(*[F.coalesce(primary[f], fallback[f]).alias(f) for f in FIELDS])
+
+
+def settled(found: Column, kind: Column, topic: Column) -> Column:
+    """A document's own metadata: a topic from the settings goes before one that was found, and only documents keep a title."""
+    own = {"title": F.when(kind == "document", found["title"]), "topic": F.coalesce(topic, found["topic"])}
+    return F.struct(*[own.get(f, found[f]).alias(f) for f in FIELDS])

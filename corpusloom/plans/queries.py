@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import analyze as A
 from corpusloom.functions import text as X
 from corpusloom.functions.chunker import chunk_documents
-from corpusloom.functions.metadata import metadata
+from corpusloom.functions.metadata import FIELDS, merged, metadata, settled
 from corpusloom.operators import enrich as E
 from corpusloom.operators import federation as FED
 from corpusloom.operators import incremental as I
@@ -78,6 +78,11 @@ def search_multifield(spark, d):
     return hits(index(spark, d).search(S.Query(T1), limit=20, boosts=BOTH, **PAGE))
 
 
+@query(S.bm25_sql(T1, BOTH) + "SELECT s.source, s.chunk_index, s.score, d.chunk_count AS chunk_total FROM (SELECT source, chunk_index, score FROM scored ORDER BY score DESC, source, chunk_index LIMIT 20) s LEFT JOIN docs_v d ON s.source = d.source")
+def search_chunk_total(spark, d):
+    return hits(index(spark, d).search(S.Query(T1), limit=20, boosts=BOTH, **PAGE), "chunk_total")
+
+
 @query(S.bm25_sql(T2, BOTH) + "SELECT source, chunk_index, score FROM scored WHERE topic = 'src3' AND lang = 'en' ORDER BY score DESC, source, chunk_index LIMIT 10")
 def search_filter_topic(spark, d):
     return hits(index(spark, d).search(S.Query(T2), equal={"topic": "src3", "lang": "en"}, boosts=BOTH, **PAGE))
@@ -457,3 +462,15 @@ def watch_ingest(spark, d):
     shape = lambda b: b.select(C.hash_id(F.col("doc_id").cast("string")).alias("source_id"), "lang", C.word_count(F.col("text")).alias("words"))
     watch(spark, f"{folder}/in", docs.schema, table, f"{folder}/state", shape).awaitTermination()
     return table.read()
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 <> 1 THEN CASE WHEN event_id % 2 = 0 THEN 'own title' WHEN event_id % 3 = 0 THEN 'other title' END END AS title,
+    CASE WHEN event_id % 3 = 1 THEN 'own author' ELSE 'other author' END AS author, CASE WHEN event_id % 7 = 0 THEN 'en' END AS lang, event_type AS tags,
+    CASE WHEN event_id % 4 = 0 THEN 'set' WHEN event_id % 3 = 2 THEN 'own topic' ELSE event_type END AS topic, CASE WHEN event_id % 2 = 1 THEN '2001' ELSE '2002' END AS created_at FROM events""")
+def metadata_merge(spark, d):
+    k, no = F.col("event_id"), F.lit(None).cast("string")
+    own = {"title": F.when(k % 2 == 0, "own title"), "author": F.when(k % 3 == 1, "own author"), "topic": F.when(k % 3 == 2, "own topic"), "created_at": F.when(k % 2 == 1, "2001")}
+    other = {"title": F.when(k % 3 == 0, "other title"), "author": F.lit("other author"), "lang": F.when(k % 7 == 0, "en"), "tags": F.col("event_type"), "topic": F.col("event_type"), "created_at": F.lit("2002")}
+    first, second = [F.struct(*[x.get(f, no).alias(f) for f in FIELDS]) for x in (own, other)]
+    found = C.read(spark, d, "events").select("event_id", merged(first, second).alias("m"), F.when(k % 5 == 1, "code").otherwise("document").alias("kind"), F.when(k % 4 == 0, "set").alias("set_topic"))
+    return found.select("event_id", settled(F.col("m"), F.col("kind"), F.col("set_topic")).alias("m")).select("event_id", "m.*")

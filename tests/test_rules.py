@@ -84,3 +84,12 @@ def test_json_lines(spark):
     assert got["doc/1"] == whole | {"tags": "a, b", "topic": "topic"}
     assert (got["x"]["tags"], got["x"]["kind"], got["x"]["format"], got["z"]["kind"]) == ("a, b", "document", "txt", "document")
     assert sorted(r.reason for r in failed.collect()) == ["no content", "no source", "no source", "not a document"]
+
+
+def test_metadata_of_two_finds(spark):
+    fields = ", ".join(f"{f}: string" for f in M.FIELDS)
+    own, other = ("T", None, "en", None, "t", None), ("U", "A", "fr", None, "u", "2001")
+    rows = spark.createDataFrame([(1, own, other, "document", None), (2, own, other, "code", "set"), (3, None, other, "document", ""), (4, None, None, "document", None)], f"id int, own struct<{fields}>, other struct<{fields}>, kind string, topic string")
+    found = rows.select("id", M.settled(M.merged(F.col("own"), F.col("other")), F.col("kind"), F.col("topic")).alias("m"))
+    assert {r.id: tuple(r.m) for r in found.collect()} == {
+        1: ("T", "A", "en", None, "t", "2001"), 2: (None, "A", "en", None, "set", "2001"), 3: ("U", "A", "fr", None, "", "2001"), 4: (None,) * 6}
