@@ -14,7 +14,8 @@ set; the join is between classes.
 2. Candidate blocks are the connected components of rows that share a key: no link goes between blocks. Every set goes to
    its block once.
 3. In a block, documents are queries one by one. Lists of the documents so far that lead a cluster are searched for those with
-   the required overlap: the short lists are heap-merged with skips, the long ones probed by binary search. A document that
+   the required overlap: the short lists are heap-merged with skips, the long ones probed by binary search, and where the lists
+   are long the short ones are tallied and the long ones looked up in rows of flags, with the same result. A document that
    links to a leader joins its cluster. By the triangle inequality of the Jaccard distance, links to members of other clusters
    are only possible where the leader is within twice the distance, and are tested there, unless both are connected already.
    So all components come out exactly without testing all pairs of a group of near copies. At 50 percent or less twice the
@@ -50,14 +51,16 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import free_name, id_and_text, prepare
 
 UNIT = 5000
-#: Short lists of more entries than this are merged by sorting and the long ones probed for all candidates at once; the result is the heap's.
+#: Short lists of more entries than this are merged by sorting or tallied, and the long ones probed for all candidates at once; the result is the heap's.
 SORT_MERGE = 4096
+#: Bytes of a unit's flags of leaders by long list, and members of clusters that are tested against a query at once.
+TABLE_BYTES, MEMBERS = 64_000_000, 256
 #: DivideSkip's factor for the share of lists that are probed.
 LONG_FACTOR = 0.01
-#: A chunk of documents whose grams are counted together; its documents are under 2**16.
+#: A chunk of documents whose grams are counted together; its documents are under 2**16. With more ranges than LEAST_RANGES it has as many times the grams, MOST_CHUNK_GRAMS at most: the rows of chunks and ranges keep their size, and their number does not grow with the square of the input.
 CHUNK_GRAMS, MOST_CHUNK_GRAMS, CHUNK_ROWS = 500_000, 4_000_000, 20_000
 #: Bits of a gram's print, and bytes of text for which there is a range of prints. Over MOST_RANGES, ranges grow with the input; their prints are counted in slices of about SLICE.
-PRINT_BITS, RANGE_BYTES, LEAST_RANGES, MOST_RANGES, SLICE = 48, 4_000_000, 256, 1 << 20, 4_000_000
+PRINT_BITS, RANGE_BYTES, LEAST_RANGES, MOST_RANGES, SLICE = 48, 8_000_000, 256, 1 << 20, 4_000_000
 #: Rounds in which the leaders of a large block meet, in units by other orders of grams.
 ROUNDS = 3
 #: Rows of (id, key, block, size) that are broadcast at most, about 20 MB; more of them are joined by a shuffle.
@@ -211,31 +214,43 @@ def divide_skip(lists: list[list[int]], need: int) -> list[tuple[int, int]]:
 
 
 class Unit:
-    """Documents of a block, one after the other; components by union-find over positions.
+    """Documents of a block, one after the other, with the components of those so far.
 
     All sets are given first, so that the inverted lists are slices of one array, and only of grams that two documents of the
-    unit share: a gram of one document is in no overlap."""
+    unit share: a gram of one document is in no overlap. Lists that get long have a row of flags by leader besides, as many as
+    TABLE_BYTES holds. A query of over SORT_MERGE entries is DivideSkip by arrays: the short lists are tallied, and the long ones
+    looked up for the members that may have enough."""
 
     def __init__(self, rule: Rule, sets: list[np.ndarray]) -> None:
-        self.rule, self.sets = rule, sets
-        self.parent = list(range(len(sets)))
+        self.rule, self.sets, self.sizes = rule, sets, np.array([len(x) for x in sets], np.int64)
+        self.root = np.arange(len(sets), dtype=np.int32)  # the first position of the component
         grams, count = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
         self.shared, count = grams[count > 1], count[count > 1]
         self.start = np.cumsum(count) - count
         self.end = self.start.copy()  # of the entries so far
         self.entries = np.empty(int(count.sum()), np.int32)
-        self.leaders: list[int] = []
-        self.members: list[list[tuple[int, float]]] = []  # by leader: (position, distance)
+        self.own: list[np.ndarray] = []  # by position: where the lists of the shared grams are
+        self.leaders = np.empty(len(sets), np.int32)
+        self.n_leaders = 0
+        # members of clusters in the order they came: position, leader's number, distance
+        self.member, self.member_of, self.member_far, self.n_members = np.empty(len(sets), np.int32), np.empty(len(sets), np.int32), np.empty(len(sets)), 0
+        flagged = np.flatnonzero(count >= max(32, len(sets) // 16))
+        flagged = flagged[np.argsort(-count[flagged], kind="stable")][: TABLE_BYTES // max(1, len(sets))]
+        self.row = np.full(len(count), -1, np.int32)
+        self.row[flagged] = np.arange(len(flagged))
+        self.table = np.zeros((len(flagged), len(sets)), np.uint8)
 
     def find(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = self.parent[i]
-        return i
+        return int(self.root[i])
 
     def union(self, a: int, b: int) -> None:
         a, b = self.find(a), self.find(b)
-        self.parent[max(a, b)] = min(a, b)
+        if a != b:
+            self.root[self.root == max(a, b)] = min(a, b)
+
+    def union_all(self, q: int, others: np.ndarray) -> None:
+        while len(others := others[self.root[others] != self.root[q]]):
+            self.union(q, int(others[0]))
 
     def places(self, grams: np.ndarray) -> np.ndarray:
         """Where the lists of the shared ones among grams are."""
@@ -243,39 +258,90 @@ class Unit:
         at, grams = at[at < len(self.shared)], grams[at < len(self.shared)]
         return at[self.shared[at] == grams]
 
+    def tally(self, lists: np.ndarray) -> np.ndarray:
+        """By leader, the number of lists with it."""
+        rows = self.row[lists]
+        plain = lists[rows < 0]
+        rows = rows[rows >= 0]
+        parts = [self.entries[a:b] for a, b in zip(self.start[plain].tolist(), self.end[plain].tolist(), strict=True)]
+        out = np.bincount(np.concatenate([*parts, np.zeros(0, np.int32)]), minlength=self.n_leaders)
+        for i in range(0, len(rows), 255):
+            out += np.add.reduce(self.table[rows[i : i + 255], : self.n_leaders], axis=0, dtype=np.uint8)
+        return out
+
+    def look_up(self, lists: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """By leader of found, the number of lists with it."""
+        if 16 * len(found) >= self.n_leaders:
+            return self.tally(lists)[found]
+        rows = self.row[lists]
+        out = self.tally(lists[rows < 0])[found]
+        rows = rows[rows >= 0]
+        for i in range(0, len(rows), 255):
+            out += np.add.reduce(self.table[rows[i : i + 255, None], found], axis=0, dtype=np.uint8)
+        return out
+
+    def search(self, own: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+        """Leaders in at least need of the lists of own, ascending, and the numbers of lists with them."""
+        length = self.end[own] - self.start[own]
+        own, length = own[length > 0], length[length > 0]
+        if int(length.sum()) <= SORT_MERGE:
+            found = divide_skip([self.entries[a:b].tolist() for a, b in zip(self.start[own].tolist(), self.end[own].tolist(), strict=True)], need)
+            both = np.array(found, np.int64).reshape(-1, 2)
+            return both[:, 0], both[:, 1]
+        if need <= 0 or len(own) < need:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        own = own[np.argsort(length, kind="stable")]
+        n_long = min(need - 1, int(need / (LONG_FACTOR * math.log2(int(length.max()) + 1) + 1)))
+        short, long = own[: len(own) - n_long], own[len(own) - n_long :]
+        count = self.tally(short)
+        found = np.flatnonzero(count >= need - n_long)
+        count = count[found]
+        if len(found) and n_long:
+            count = count + self.look_up(long, found)
+        return found[count >= need], count[count >= need]
+
     def add(self, q: int) -> bool:
-        """Adds the document at position q; whether it leads a cluster now."""
+        """Adds the document at position q, the one after the last; whether it leads a cluster now."""
         percent, wide = self.rule.percent, self.rule.wide
         size, own = len(self.sets[q]), self.places(self.sets[q])
-        lists = [self.entries[a:b].tolist() for a, b in zip(self.start[own].tolist(), self.end[own].tolist(), strict=True) if a < b]
-        near, home = [], None
-        for r, both in divide_skip(lists, -(-wide * size // 100)):
-            either = size + len(self.sets[self.leaders[r]]) - both
-            if 100 * both >= percent * either:
-                self.union(q, self.leaders[r])
-                if home is None or both / either > home[0]:
-                    home = both / either, r
-            elif 100 * both >= wide * either:
-                near.append((r, 1 - both / either))
-        for r, far in near:
-            if self.find(q) != self.find(self.leaders[r]):
-                for m, d in self.members[r]:
-                    if d + (100 - percent) / 100 + 1e-9 >= far and self.find(m) != self.find(q) and self.linked(m, q):
-                        self.union(m, q)
-                        break
-        if home and percent > 50:
-            self.members[home[1]].append((q, 1 - home[0]))
+        self.own.append(own.astype(np.int32))
+        ranks, both = self.search(own, -(-wide * size // 100))
+        either = size + self.sizes[self.leaders[ranks]] - both
+        links = 100 * both >= percent * either
+        self.union_all(q, self.leaders[ranks[links]])
+        near = ~links & (100 * both >= wide * either) & (self.root[self.leaders[ranks]] != self.root[q])
+        if near.any() and self.n_members:
+            far = np.full(self.n_leaders, np.inf)
+            far[ranks[near]] = 1 - both[near] / either[near]
+            n = self.n_members
+            self.link_members(q, self.member[:n][self.member_far[:n] + (100 - percent) / 100 + 1e-9 >= far[self.member_of[:n]]])
+        if links.any() and percent > 50:
+            alike = both[links] / either[links]
+            best = int(alike.argmax())
+            n, self.n_members = self.n_members, self.n_members + 1
+            self.member[n], self.member_of[n], self.member_far[n] = q, ranks[links][best], 1 - alike[best]
             return False
-        self.entries[self.end[own]] = len(self.leaders)
+        self.entries[self.end[own]] = self.n_leaders
         self.end[own] += 1
-        self.leaders.append(q)
-        self.members.append([])
+        rows = self.row[own]
+        self.table[rows[rows >= 0], self.n_leaders] = 1
+        self.leaders[self.n_leaders] = q
+        self.n_leaders += 1
         return True
 
-    def linked(self, a: int, b: int) -> bool:
-        x, y = self.sets[a], self.sets[b]
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        return 100 * both >= self.rule.percent * (len(x) + len(y) - both)
+    def link_members(self, q: int, members: np.ndarray) -> None:
+        """Joins q with those of members that it links to, unless both are connected already."""
+        has = np.zeros(len(self.shared), bool)
+        has[self.own[q]] = True
+        for at in range(0, len(members), MEMBERS):
+            some = members[at : at + MEMBERS]
+            some = some[self.root[some] != self.root[q]]
+            if not len(some):
+                continue
+            parts = [self.own[i] for i in some.tolist()]  # none is empty: each shares grams with its leader
+            ends = np.cumsum([len(x) for x in parts])
+            both = np.add.reduceat(has[np.concatenate(parts)], np.concatenate([[0], ends[:-1]]), dtype=np.int64)
+            self.union_all(q, some[100 * both >= self.rule.percent * (len(self.sets[q]) + self.sizes[some] - both)])
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -415,13 +481,17 @@ def _shared_prints(chunks: DataFrame) -> DataFrame:
     return chunks.repartition("span").sortWithinPartitions("span").mapInArrow(run, _CHUNK)
 
 
+def _layout(size: int) -> tuple[int, int]:
+    """For bytes of text: the power of two of the ranges of prints, and grams in a chunk."""
+    bits = max(LEAST_RANGES, min(MOST_RANGES, size // RANGE_BYTES)).bit_length() - 1
+    return bits, max(CHUNK_GRAMS, min(MOST_CHUNK_GRAMS, (CHUNK_GRAMS << bits) // LEAST_RANGES))
+
+
 def _profiles(rows: DataFrame, rule: Rule) -> DataFrame:
     """doc_id, n, key, index keys kept by this row, keys of sets that it shares others with."""
     schema = "doc_id long, n long, key long, key2 long, kept array<long>, links array<struct<key: bigint, key2: bigint>>"
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(LEAST_RANGES, min(MOST_RANGES, size // RANGE_BYTES)).bit_length() - 1
-    # a chunk of so many ranges has more grams, so that its rows stay worth their heads
-    chunk_grams = max(CHUNK_GRAMS, min(MOST_CHUNK_GRAMS, 4 << bits))
+    bits, chunk_grams = _layout(size)
     pair = pa.struct([("key", pa.int64()), ("key2", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -584,6 +654,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # the units of a large block are ranges of the smallest gram, which near copies mostly share
     sets = sets.withColumn("unit", F.when(F.col("size") > unit, F.floor(F.col("low") / ((1 << 63) * 1.0) * F.ceil(F.col("size") / unit))).otherwise(0).cast("long"))
     large = sizes.where(F.col("size") > unit).limit(1).count() > 0
+    if large:  # each of the rounds reads them again, which would make them from all texts
+        sets = sets.checkpoint()
     found = _search(sets.withColumn("label", F.lit(None).cast("long")), rule).checkpoint()
     links = found.select(F.col("key").alias("a"), F.col("root").alias("b"))
     if large:
