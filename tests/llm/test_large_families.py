@@ -64,3 +64,32 @@ def test_rows_of_chunks_and_ranges(gb):
     bits, grams = ngram_join._layout(int(gb * 1e9))
     assert grams >> bits >= min(900, ngram_join.MOST_CHUNK_GRAMS >> bits)
     assert gb * 1e9 / (1 << bits) <= 16_000_000 and grams <= ngram_join.MOST_CHUNK_GRAMS
+
+
+def test_large_blocks_read_their_texts_once(spark):
+    """The pipeline's stage on a family of many units: the rounds of leaders don't make sets from the texts again."""
+    rng = random.Random(5)
+    texts = [[f"w{i}" for i in range(80)]]
+    while len(texts) < 160:
+        w = list(rng.choice(texts))
+        for _ in range(rng.randint(1, 4)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(400)}"
+        texts.append(w)
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    ngram_join.prepare(spark)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).checkpoint().mapInArrow(count, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs, rule=ngram_join.Rule(5, 80), unit=10).collect()}
+    by_text = {ngram_join.set_key(ngram_join.gram_set(t, 5)): ngram_join.gram_set(t, 5) for _, t in rows}
+    label = dict(zip(by_text, _components(list(by_text.values()), 80), strict=True))
+    least = {}
+    for i, t in rows:
+        least.setdefault(label[ngram_join.set_key(ngram_join.gram_set(t, 5))], i)
+    assert got == {i: least[label[ngram_join.set_key(ngram_join.gram_set(t, 5))]] for i, t in rows}
+    assert read.value <= 3 * len(rows), read.value  # its size, the chunks, the sets
