@@ -38,8 +38,10 @@ import hashlib
 import heapq
 import itertools
 import math
+import re
+import struct
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,7 +52,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import free_name, id_and_text, prepare
 
-UNIT = 5000
+#: Documents of a unit; two units meet in a task, whose time grows with the square of their documents.
+UNIT = 2500
 #: Short lists of more entries than this are merged by sorting or tallied, and the long ones probed for all candidates at once; the result is the heap's.
 SORT_MERGE = 4096
 #: Bytes of a unit's flags of leaders by long list, and members of clusters that are tested against a query at once.
@@ -65,15 +68,20 @@ PRINT_BITS, RANGE_BYTES, LEAST_RANGES, MOST_RANGES, SLICE = 48, 8_000_000, 256,
 ROUNDS = 3
 #: Rows of (id, key, block, size) that are broadcast at most, about 20 MB; more of them are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-TEXT_BLOCK = 1 << 16
+#: Bytes of text whose words are hashed at once, and bytes of a word from which on it is hashed alone.
+TEXT_BLOCK, LONG_WORD = 1 << 16, 256
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(0, 1 << 64, 256, np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_SPACE = re.compile(rb"[\x09-\x0d\x20]")
+_IS_SPACE = bytes(x in b"\t\n\v\f\r " for x in range(256))
+#: By number of bytes, which of eight count.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_ODD = _RNG.integers(0, 1 << 64, 2, np.uint64) | np.uint64(1)
+_weights = [_RNG.integers(0, 1 << 64, 8, np.uint64) | np.uint64(1)]
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,6 +92,13 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def _weight(n: int) -> np.ndarray:
+    """Odd factors of the n words of a gram."""
+    while len(_weights[0]) < n:
+        _weights[0] = np.concatenate([_weights[0], _RNG.integers(0, 1 << 64, len(_weights[0]), np.uint64) | np.uint64(1)])
+    return _weights[0][:n]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
     x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -91,42 +106,79 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def word_hashes(raw: bytes) -> np.ndarray:
-    """Of the words of raw, lower-cased A-Z, in order."""
-    out, at = [], 0
-    raw = raw.lower()
+def _words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of raw, in order, and where each begins."""
+    hashes, starts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
     while at < len(raw):
-        end = min(len(raw), at + TEXT_BLOCK)
-        while end < len(raw) and not _SPACE[raw[end]]:
-            end += 1
-        a = np.frombuffer(raw, np.uint8, end - at, at)
-        edge = np.diff(np.concatenate([[True], _SPACE[a], [True]]).astype(np.int8))
-        start, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        up, down = _power(len(a) + 1)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[a] * up[: len(a)], dtype=np.uint64)])
-        out.append(mix((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64)))
+        end = len(raw) if at + TEXT_BLOCK >= len(raw) or not (space := _SPACE.search(raw, at + TEXT_BLOCK)) else space.start()
+        part = b"%b%b%b" % (b" ", raw[at:end], b" " * 8)
+        space = np.frombuffer(part.translate(_IS_SPACE), np.uint8)
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+        start, length = edge[::2], edge[1::2] - edge[::2]
+        eight = np.ndarray((len(part) - 7,), "<u8", part, 0, (1,))  # the bytes from each place on
+        h = mix((eight[start] & _FIRST[np.minimum(length, 8)]) * _ODD[0] + length.astype(np.uint64))
+        more, k = np.flatnonzero((length > 8) & (length <= LONG_WORD)), 8
+        while len(more):
+            h[more] = mix(h[more] * _ODD[1] + (eight[start[more] + k] & _FIRST[np.minimum(length[more] - k, 8)]))
+            k += 8
+            more = more[length[more] > k]
+        for i in np.flatnonzero(length > LONG_WORD).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(part[start[i] : start[i] + length[i]], digest_size=8).digest(), "little")
+        hashes.append(h)
+        starts.append(start + (at - 1))
         at = end
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return np.concatenate(hashes), np.concatenate(starts)
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """Of the words of raw, lower-cased A-Z, in order."""
+    return _words(raw.lower())[0]
+
+
+def gram_sets(texts: Iterable[str], n: int) -> Iterator[np.ndarray]:
+    """Of each text the distinct hashes of its word n-grams, ascending. Short texts are hashed together, TEXT_BLOCK bytes at a time."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text.encode("utf-8", "surrogatepass"))
+        size += len(held[-1]) + 1
+        if size >= TEXT_BLOCK:
+            yield from _gram_sets(held, n)
+            held, size = [], 0
+    if held:
+        yield from _gram_sets(held, n)
+
+
+def _gram_sets(raws: list[bytes], n: int) -> Iterator[np.ndarray]:
+    w, start = _words(b" ".join(raws).lower())
+    ends = np.cumsum([len(x) + 1 for x in raws])
+    words = [0, *np.searchsorted(start, ends).tolist()]
+    weight = _weight(n)
+    grams = np.full(max(0, len(w) - n + 1), n, np.uint64)
+    if len(grams):
+        for i in range(n):
+            grams += w[i : len(w) - n + 1 + i] * weight[i]
+        grams = mix(grams)
+    for a, b in itertools.pairwise(words):
+        if b - a >= n:
+            out = np.sort(grams[a : b - n + 1])
+            new = np.empty(len(out), bool)
+            new[0] = True
+            np.not_equal(out[1:], out[:-1], out=new[1:])
+            yield out if new.all() else out[new]
+        elif a < b:  # fewer words than n are one gram
+            yield mix((w[a:b] * weight[: b - a]).sum(keepdims=True, dtype=np.uint64) + np.uint64(b - a))
+        else:
+            yield np.zeros(0, np.uint64)
 
 
 def gram_set(text: str, n: int) -> np.ndarray:
     """Distinct hashes of the word n-grams, ascending."""
-    w = word_hashes(text.encode("utf-8", "surrogatepass"))
-    if not len(w):
-        return w
-    k = min(n, len(w))
-    h = np.full(len(w) - k + 1, k, np.uint64)
-    for i in range(k):
-        h = mix(h * np.uint64(0xD6E8FEB86659FD93) + w[i : len(w) - k + 1 + i])
-    return np.unique(h)
+    return next(gram_sets([text], n))
 
 
 def set_key(grams: np.ndarray) -> tuple[int, int]:
     """128 bits that tell sets apart, as two numbers."""
-    with np.errstate(over="ignore"):
-        sums = [mix(grams ^ np.uint64(seed)).sum(dtype=np.uint64) + np.uint64(len(grams)) for seed in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
-        a, b = mix(np.array(sums, np.uint64)).view(np.int64).tolist()
-    return a, b
+    return struct.unpack("<qq", hashlib.blake2b(grams.astype("<u8", copy=False), digest_size=16).digest())
 
 
 def least_hashes(grams: np.ndarray) -> list[int]:
@@ -389,12 +441,13 @@ def _chunks(rows: DataFrame, rule: Rule, bits: int, chunk_grams: int) -> DataFra
         ids, sizes, keys, sets, owner, seen, count = [], [], [], [], [], set(), 0
 
         def flush() -> pa.RecordBatch:
-            prints = np.concatenate([*sets, np.zeros(0, np.uint64)]) >> np.uint64(64 - PRINT_BITS)
-            owners = np.repeat(np.array(owner, np.uint16), [len(x) for x in sets])
-            order = np.argsort(prints, kind="stable")
-            prints, owners = prints[order], owners[order]
-            different, first, counts = np.unique(prints, return_index=True, return_counts=True)
+            # one number of print and owner, as numbers are sorted faster than places
+            both = np.concatenate([*sets, np.zeros(0, np.uint64)]) >> np.uint64(64 - PRINT_BITS) << np.uint64(16) | np.repeat(np.array(owner, np.uint64), [len(x) for x in sets])
+            both.sort()
+            prints, owners = both >> np.uint64(16), both.astype(np.uint16)
+            first = np.flatnonzero(np.diff(prints, prepend=~prints[:1]))
             ends = np.concatenate([first, [len(owners)]])
+            different, counts = prints[first], np.diff(ends)
             chunk, mark = place << 32 | number, int.from_bytes(hashlib.blake2b(repr((ids, keys)).encode(), digest_size=8).digest(), "little", signed=True)
             cut = np.searchsorted(different, np.arange(1 << bits, dtype=np.uint64) << np.uint64(PRINT_BITS - bits))
             out = [(_spread(chunk) % (1 << bits), chunk, mark, ids, sizes, [k[0] for k in keys], [k[1] for k in keys], None, None, None)]
@@ -402,8 +455,7 @@ def _chunks(rows: DataFrame, rule: Rule, bits: int, chunk_grams: int) -> DataFra
             return _batch(out, schema)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                grams = gram_set(text, rule.words)
+            for doc, grams in zip(batch.column(0).to_pylist(), gram_sets(batch.column(1).to_pylist(), rule.words), strict=True):
                 key = set_key(grams)
                 if len(grams) and key not in seen:
                     seen.add(key)
@@ -423,6 +475,18 @@ def _chunks(rows: DataFrame, rule: Rule, bits: int, chunk_grams: int) -> DataFra
     return rows.mapInArrow(run, schema)
 
 
+def _numbered(values: np.ndarray) -> np.ndarray:
+    """For each value, the number of smaller different ones."""
+    bits = len(values).bit_length()
+    if int(values.max(initial=0)).bit_length() + bits > 64:
+        return np.unique(values, return_inverse=True)[1]
+    both = np.sort(values << np.uint64(bits) | np.arange(len(values), dtype=np.uint64))  # value and place: numbers are sorted faster than places
+    values, place = both >> np.uint64(bits), (both & np.uint64((1 << bits) - 1)).astype(np.int64)
+    out = np.empty(len(values), np.int64)
+    out[place] = np.cumsum(np.diff(values, prepend=values[:1]) != 0)
+    return out
+
+
 def _shared_prints(chunks: DataFrame) -> DataFrame:
     """By range of prints, those that occur twice or more, each with its level (the power of two of its number) above the print: an order of grams."""
 
@@ -453,7 +517,7 @@ def _shared_prints(chunks: DataFrame) -> DataFrame:
                     parts.append((chunk, mark, x[a:b], c[a:b], np.frombuffer(owners, np.uint16)[start : start + int(c[a:b].sum())]))
             if not parts:
                 return
-            _, inverse = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True)
+            inverse = _numbered(np.concatenate([p[2] for p in parts]) - np.uint64(low))
             total = np.bincount(inverse, weights=np.concatenate([p[3] for p in parts]))
             level, out, at = (np.frexp(total)[1] - 1).astype(np.uint64)[inverse], [], 0
             for chunk, mark, x, c, owners in parts:
@@ -613,7 +677,7 @@ def _sets(rows: DataFrame, wanted: DataFrame, rule: Rule, twins: list[int]) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c = {n: batch.column(n).to_pylist() for n in ("doc_id", "text", "key", "block", "size")}
-            grams = [gram_set(t, rule.words) for t in c["text"]]
+            grams = list(gram_sets(c["text"], rule.words))
             keys = [set_key(g) for g in grams]
             # without twins a set of another key goes here, so that it isn't sent
             good = [i for i, g in enumerate(grams) if len(g) and (twins or keys[i][0] == c["key"][i])]
@@ -630,7 +694,7 @@ def _sets(rows: DataFrame, wanted: DataFrame, rule: Rule, twins: list[int]) -> D
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
-            both = [set_key(gram_set(t, rule.words)) for t in texts.to_pylist()]
+            both = [set_key(g) for g in gram_sets(texts.to_pylist(), rule.words)]
             yield pa.RecordBatch.from_arrays([texts, pa.array([k[0] for k in both], pa.int64()), pa.array([k[1] for k in both], pa.int64())], names=["text", "k1", "k2"])
 
     # a null id joins nothing: these rows are found by the key of their set
@@ -638,6 +702,12 @@ def _sets(rows: DataFrame, wanted: DataFrame, rule: Rule, twins: list[int]) -> D
     return found.unionByName(made(texts.dropDuplicates(["key"]).withColumn("doc_id", F.lit(None).cast("long"))))
 
 
+def _in_units(rows: DataFrame, order: str, unit: int) -> DataFrame:
+    """(key, unit) of rows (block, key, order): units of at most unit sets of a block, next to each other by order, numbered from 0. Ranges of the values would not do: the smallest of a set's many hashes is near 0, and all of a family share it."""
+    place = F.row_number().over(Window.partitionBy("block").orderBy(order, "key")) - 1
+    return rows.distinct().select("key", F.floor(place / unit).cast("long").alias("unit"))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = Rule(), unit: int = UNIT) -> DataFrame:
     """doc_id, n_shingles, component_id, class_size (rows of equal sets)."""
     prepare(docs.sparkSession)
@@ -651,11 +721,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sizes = blocks.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     wanted = blocks.join(sizes, "label").join(classes, blocks.node == classes.key).select(F.col("rep").alias("doc_id"), "key", F.col("label").alias("block"), "size").checkpoint()
     sets = _sets(rows, wanted, rule, twins)
-    # the units of a large block are ranges of the smallest gram, which near copies mostly share
-    sets = sets.withColumn("unit", F.when(F.col("size") > unit, F.floor(F.col("low") / ((1 << 63) * 1.0) * F.ceil(F.col("size") / unit))).otherwise(0).cast("long"))
     large = sizes.where(F.col("size") > unit).limit(1).count() > 0
     if large:  # each of the rounds reads them again, which would make them from all texts
         sets = sets.checkpoint()
+        # the units of a large block are cut in the order of the smallest gram, which near copies mostly share
+        units = _in_units(sets.where(F.col("size") > unit).select("block", "key", "low"), "low", unit)
+        sets = sets.join(small(units), "key", "left").withColumn("unit", F.coalesce("unit", F.lit(0).cast("long")))
+    else:
+        sets = sets.withColumn("unit", F.lit(0).cast("long"))
     found = _search(sets.withColumn("label", F.lit(None).cast("long")), rule).checkpoint()
     links = found.select(F.col("key").alias("a"), F.col("root").alias("b"))
     if large:
@@ -681,9 +754,8 @@ def _across(rows: DataFrame, wanted: DataFrame, found: DataFrame, sets: DataFram
         held = one.join(one.groupBy("block").agg(F.count(F.lit(1)).alias("leaders")).where("leaders > 1"), "block").select("key", "leaders").checkpoint()
         if not held.limit(1).count():
             break
-        parts = F.ceil(F.col("leaders") / unit)
-        cut = F.when(F.col("leaders") > unit, F.floor(F.get("lows", F.lit(k)) / ((1 << 63) * 1.0) * parts)).otherwise(0).cast("long")
-        met = _search(big.join(held, "key").select("block", cut.alias("unit"), "key", "doc_id", "n", "grams", none.alias("label")), rule)
+        units = _in_units(big.join(held, "key").select("block", "key", F.get("lows", F.lit(k)).alias("low")), "low", unit)
+        met = _search(big.drop("unit").join(units, "key").select("block", "unit", "key", "doc_id", "n", "grams", none.alias("label")), rule)
         links = links.unionByName(met.select(F.col("key").alias("a"), F.col("root").alias("b"))).checkpoint()
         labels = components(links)
         label = found.join(labels, found.key == labels.node, "left").select("key", "block", "leads", F.coalesce("label", "key").alias("label")).checkpoint()
